@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .bpe import op10_bpe
+from .language import op2_language
 from .quality import op9_quality_rules
 from .sharding import op7_sharding
+from .simhash import op4_simhash
 from .token_planes import op8_token_planes
 
-QUERIES = {f.__name__: f for f in (op7_sharding, op8_token_planes, op9_quality_rules, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_language, op4_simhash, op7_sharding, op8_token_planes, op9_quality_rules, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
