@@ -19,6 +19,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,13 @@ from .util import chunks, table
 
 KNOWN_FRAGMENTS = 300_000  # the table of a worker is emptied beyond this
 LONGEST_KNOWN = 64  # bytes; longer fragments are not kept
+#: Latin letters, digits and marks that NFC leaves alone and whose lower case does not depend on neighbours.
+LATIN = re.compile("[!-~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u012f\u0131-\u024f]+")
+#: What the file's pattern finds in such text, in lower case.
+WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: The normaliser and pattern of the file for which the short way holds.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -73,6 +82,9 @@ class ForcedBoundaryBPE(dict):
         pairs = {c: i for c, i in self.letters.items()}
         self.cut = {x + y for x in pairs for y in pairs if not self.joined[pairs[x], pairs[y]]}
         self.pieces: dict[tuple[str, bool], list[int]] = {}
+        self.known_words: dict[str, tuple[bytes, bytes]] = {}
+        self.signs = {b: c for c, b in self.letters.items()}
+        self.latin = spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] == PATTERN
 
     def _piece(self, piece: str, last: bool) -> list[int]:
         ids = self.pieces.get((piece, last))
@@ -86,27 +98,42 @@ class ForcedBoundaryBPE(dict):
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word in the byte alphabet: cut at the forced boundaries, then joined."""
         out: list[int] = []
-        start = 0
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] in self.cut:
-                out += self._piece(word[start:i], False)
-                start = i
-        return out + self._piece(word[start:], True)
-
-    def fragment_ids(self, fragment: bytes) -> list[int]:
-        text = fragment.decode("utf-8")
-        if any(a in fragment for a in self.added):
-            return self.whole.encode(text, add_special_tokens=False).ids
+        start, cut = 0, self.cut
+        for i in [i for i, pair in enumerate(map(add, word, word[1:]), 1) if pair in cut]:
+            out += self._piece(word[start:i], False)
+            start = i
+        return out + (self._piece(word[start:], True) if start else [t.id for t in self.last.tokenize(word)])
+
+    def word(self, word: str) -> tuple[bytes, bytes]:
+        found = self.known_words.get(word)
+        if found is None:
+            ids = self.encode_word(word)
+            found = " ".join(map(str, ids)).encode(), " ".join(map(self.tokens.__getitem__, ids)).encode()
+            if len(self.known_words) >= KNOWN_FRAGMENTS:
+                self.known_words.clear()
+            self.known_words[word] = found
+        return found
+
+    def words(self, text: str) -> list[str]:
+        """The words of a normalised fragment, in the byte alphabet.
+
+        Latin text takes a short way, where lower case is all that the normaliser
+        changes and the pattern needs no classes of other scripts."""
+        if self.latin and LATIN.fullmatch(text):
+            found = WORD.findall(text.lower())
+            return found if text.isascii() else [w if w.isascii() else w.encode().decode("latin-1").translate(self.signs) for w in found]
         if self.whole.normalizer is not None:
             text = self.whole.normalizer.normalize_str(text)
-        ids: list[int] = []
-        for word, _ in self.whole.pre_tokenizer.pre_tokenize_str(text):
-            ids += self.encode_word(word)
-        return ids
+        return [w for w, _ in self.whole.pre_tokenizer.pre_tokenize_str(text)]
 
     def __missing__(self, fragment: bytes) -> tuple[bytes, bytes]:
-        ids = self.fragment_ids(fragment)
-        out = b" ".join(b"%d" % i for i in ids), " ".join(self.tokens[i] for i in ids).encode()
+        text = fragment.decode("utf-8")
+        if b"<|" in fragment and any(a in fragment for a in self.added):
+            ids = self.whole.encode(text, add_special_tokens=False).ids
+            out = b" ".join(b"%d" % i for i in ids), " ".join(self.tokens[i] for i in ids).encode()
+        else:
+            parts = [self.word(w) for w in self.words(text)]
+            out = parts[0] if len(parts) == 1 else (b" ".join([p[0] for p in parts]), b" ".join([p[1] for p in parts]))
         if len(fragment) <= LONGEST_KNOWN:
             if len(self) >= KNOWN_FRAGMENTS:
                 self.clear()
