@@ -17,6 +17,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +26,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_alphabet
 from .util import Scratch, chunks, open_fs, table
 
 MAGIC = b"IDPLANE1"
 BLOCK = 65_536
 FILE_IDS = 1 << 26  # a file is closed after so many ids
-KNOWN_FRAGMENTS = 400_000
+KNOWN_FRAGMENTS = 500_000
+LONGEST_KNOWN = 48  # characters; longer fragments are not kept
 #: A space before any other than white space always begins a new word of the byte-level pattern.
 BREAK = re.compile(r" (?=\S)")
 ODD = re.compile(r" (?:\s|$)")
+MARKS = ".,;:!?|"
+SPACE = "\u0120"  # the byte alphabet's sign for a space
 
 
 class FragmentEncoder(dict):
@@ -47,22 +52,39 @@ class FragmentEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-
-    def __missing__(self, fragment: str) -> bytes:
-        return self.plain(" " + fragment)
+        self.model = self.tokenizer.model
+        self.letters = {b: c for c, b in byte_alphabet().items()}
+        self.marks = {m: self.plain(m) for m in MARKS}
 
     def plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def learn(self, fragments: set[str]) -> None:
+        """Encodes fragments that are not known yet. A mark after a letter is a word of its own in the pattern."""
+        bases = {f: f[:-1] if len(f) > 1 and f[-1] in MARKS and f[-2].isalpha() else f for f in fragments}
+        new = [b for b in {*bases.values()} if b not in self]
+        tokenize, letters = self.model.tokenize, self.letters
+        for f in new:
+            if f.isalpha():  # one word of the pattern with its space: the merges alone are left to do
+                self[f] = array("I", [t.id for t in tokenize(SPACE + (f if f.isascii() else f.encode().decode("latin-1").translate(letters)))]).tobytes()
+        new = [f for f in new if not f.isalpha()]
+        for f, e in zip(new, self.tokenizer.encode_batch_fast([" " + f for f in new], add_special_tokens=False), strict=True):
+            self[f] = array("I", e.ids).tobytes()
+        for f, b in bases.items():
+            if f is not b:
+                self[f] = self[b] + self.marks[f[-1]]
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian uint32 ids of whole texts."""
         split = [(BREAK.split(t) if ODD.search(t) else t.split(" ")) if t else [""] for t in texts]
-        new = list({f for s in split for f in s[1:] if len(f) <= 48}.difference(self))
-        if len(self) + len(new) > KNOWN_FRAGMENTS:
+        found = [list(map(self.get, s)) for s in split]
+        holes = [(s, f) for s, f in zip(split, found, strict=True) if None in f]
+        if len(self) > KNOWN_FRAGMENTS:
             self.clear()
-            new = list({f for s in split for f in s[1:] if len(f) <= 48})
-        for f, e in zip(new, self.tokenizer.encode_batch_fast([" " + f for f in new], add_special_tokens=False), strict=True):
-            self[f] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([self.plain(s[0]) if s[0] else b"", *map(self.__getitem__, s[1:])]) for s in split]
+        self.learn({w for s, f in holes for w, x in zip(s[1:], f[1:], strict=True) if x is None and len(w) <= LONGEST_KNOWN})
+        for s, f in holes:
+            f[:] = [self.get(w) or self.plain(" " + w) if x is None else x for w, x in zip(s, f, strict=True)]
+        return [b"".join([self.plain(s[0]) if s[0] else b"", *f[1:]]) for s, f in zip(split, found, strict=True)]
 
 
 _encoders: dict[str, FragmentEncoder] = {}
