@@ -143,6 +143,42 @@ def fit_prototypes(train: DataFrame, per_language: int = TRAIN_DOCS) -> dict[str
     return {k: v / max(np.linalg.norm(v), 1e-12) for k, v in sorted(out.items())}
 
 
+def _judge(prototypes: dict[str, np.ndarray]):
+    """A function from texts to (languages, scores)."""
+    names = list(prototypes)
+    raw = (np.stack(list(prototypes.values())) if names else np.zeros((0, DIMENSIONS))).astype(np.float32)
+    centred = unit(raw - raw.mean(axis=0)) if len(names) > 1 else raw
+
+    def judge(texts: list[str]) -> tuple[list[str], np.ndarray]:
+        vectors, has = text_vectors(texts)
+        if not names:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        vectors = unit(vectors)
+        best = np.argmax(vectors @ centred.T, axis=1)
+        score = np.clip(np.einsum("ij,ij->i", vectors, raw[best]), 0, 1).astype(np.float64)
+        return [names[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)], np.where(has, score, 0.0)
+
+    return judge
+
+
+def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
+    """The rows of docs that are not `und`, all columns as they are but a null lang, which becomes the predicted one."""
+    judge = _judge(prototypes)
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 250):
+                batch = whole.slice(at, 250)
+                names = batch.schema.names
+                langs, _ = judge([t or "" for t in batch.column(names.index("text")).to_pylist()])
+                i = names.index("lang")
+                filled = pa.array([own if own is not None else told for own, told in zip(batch.column(i).to_pylist(), langs, strict=True)], batch.schema.field(i).type)
+                batch = pa.RecordBatch.from_arrays([filled if k == i else c for k, c in enumerate(batch.columns)], schema=batch.schema)
+                yield batch.filter(pa.array([told != UNKNOWN for told in langs]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: str = "doc_id long") -> DataFrame:
     """docs (the columns of keep, then text) with lang_pred and score for the whole text.
 
@@ -150,25 +186,15 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: str = "doc
     taken off, from 0 to 1. A null text, or one without a letter, is `und` with
     score 0, and so is every text if nothing was learned. Ties go to the language
     first in order."""
-    names = list(prototypes)
-    raw = np.stack(list(prototypes.values())) if names else np.zeros((0, DIMENSIONS))
-    raw = raw.astype(np.float32)
-    centred = unit(raw - raw.mean(axis=0)) if len(names) > 1 else raw
+    judge = _judge(prototypes)
     kept = [f.split() for f in keep.split(", ")]
 
     def run(batches):
         for part in chunks(batches, lambda r: len(r[-1] or "") + 50, 1_000_000):
             for rows in _groups(part):
-                vectors, has = text_vectors([r[-1] or "" for r in rows])
-                vectors = unit(vectors)
-                if names:
-                    best = np.argmax(vectors @ centred.T, axis=1)
-                    score = np.clip(np.einsum("ij,ij->i", vectors, raw[best]), 0, 1)
-                else:
-                    best, score, has = np.zeros(len(rows), int), np.zeros(len(rows)), np.zeros(len(rows), bool)
+                langs, scores = judge([r[-1] or "" for r in rows])
                 cols = {name: pa.array([r[i] for r in rows], {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[kind]) for i, (name, kind) in enumerate(kept)}
-                cols["lang_pred"] = pa.array([names[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)])
-                cols["score"] = pa.array(np.where(has, score, 0.0).astype(np.float64))
+                cols["lang_pred"], cols["score"] = pa.array(langs), pa.array(scores)
                 yield pa.RecordBatch.from_pydict(cols)
 
     return docs.select(*(name for name, _ in kept), "text").mapInArrow(run, f"{keep}, lang_pred string, score double")
