@@ -61,8 +61,12 @@ def path_of(url: Column) -> Column:
 def buckets(host: Column, path: Column) -> Column:
     """The distinct buckets of the n-grams of host and path, which are marked apart."""
     text = F.concat(F.lit("^"), host, F.lit("$"), path, F.lit("$"))
-    grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda i, n=n: F.pmod(F.xxhash64(F.substring(text, i, F.lit(n))), F.lit(BUCKETS)).cast("int")) for n in GRAMS]
-    return F.array_distinct(F.concat(*grams))
+
+    def hashed(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1))
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.substring(text, i, F.lit(n))), F.lit(BUCKETS)).cast("int"))
+
+    return F.array_distinct(F.concat(*map(hashed, GRAMS)))
 
 
 def fit_weights(labelled: DataFrame) -> list[float]:
