@@ -131,7 +131,7 @@ def nearest_scoped(nodes: DataFrame, scoped: DataFrame) -> DataFrame:
     """(file_id, node_id, dictionary): that of the nearest ancestor-or-self in scoped (file_id, node_id, dictionary).
 
     nodes and ancestors are told by pre and post numbers; the deepest one decides."""
-    s = nodes.join(scoped, ["file_id", "node_id"]).select("file_id", F.col("pre").alias("_pre"), F.col("post").alias("_post"), F.col("depth").alias("_depth"), "dictionary")
-    inside = nodes.join(s, (nodes["file_id"] == s["file_id"]) & nodes["pre"].between(s["_pre"], s["_post"])).select(nodes["file_id"], "node_id", F.struct("_depth", "dictionary").alias("d"))
+    s = nodes.join(scoped, ["file_id", "node_id"]).select(F.col("file_id").alias("_f"), F.col("pre").alias("_pre"), F.col("post").alias("_post"), F.col("depth").alias("_depth"), "dictionary")
+    inside = nodes.join(s, F.expr("file_id = _f and pre between _pre and _post")).select("file_id", "node_id", F.struct("_depth", "dictionary").alias("d"))
     near = inside.groupBy("file_id", "node_id").agg(F.max("d").alias("d"))
     return nodes.join(near, ["file_id", "node_id"], "left").select("file_id", "node_id", F.coalesce("d.dictionary", F.lit("")).alias("dictionary"))

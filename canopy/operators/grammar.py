@@ -226,11 +226,11 @@ def deanonymise(g: Grammar) -> Grammar:
 
 
 def print_grammar(g: Grammar) -> str:
-    """The grammar in its language again, in order of names."""
+    """The grammar in its language again, in order of names; sums have their extensions in them."""
     out = [f"typedef {t} {n};" for n, t in sorted(g.typedefs.items())]
     out += ["enum %s {\n%s\n};" % (n, ",\n".join(f'  "{v}"' for v in vs)) for n, vs in sorted(g.enums.items())]
     for n, i in sorted(g.interfaces.items()):
-        marks = ", ".join(k + (f"={v}" if v else "") for k, v in i.attributes.items())
+        marks = ", ".join(k + (f"={v}" if v else "") for k, v in i.attributes.items() if k != "ExtendsTypeSum")
         body = "".join(f"  {'[' + ', '.join(sorted(a)) + '] ' if a else ''}attribute {t} {f};\n" for f, t, a in i.fields)
         out.append((f"[{marks}] " if marks else "") + f"interface {n} {{\n{body}}};")
     return "\n".join(out) + "\n"

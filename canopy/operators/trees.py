@@ -98,11 +98,6 @@ def children(nodes: DataFrame) -> DataFrame:
     return nodes.where("parent_id is not null").select("file_id", "parent_id", F.col("node_id").alias("child_id"), "parent_field")
 
 
-def inside(a: str, d: str) -> Column:
-    """d is a descendant of a, or a itself."""
-    return (F.col(f"{a}.file_id") == F.col(f"{d}.file_id")) & F.col(f"{d}.pre").between(F.col(f"{a}.pre"), F.col(f"{a}.post"))
-
-
 def subtree_sums(nodes: DataFrame, size: str) -> DataFrame:
     """(file_id, node_id, nodes, total): each subtree's nodes and sum of size.
 
@@ -110,9 +105,9 @@ def subtree_sums(nodes: DataFrame, size: str) -> DataFrame:
     ancestors with descendants."""
     w = Window.partitionBy("file_id").orderBy("pre")
     upto = nodes.select("file_id", "node_id", "pre", "post", F.sum(size).over(w).alias("_upto"), F.col(size).alias("_own"))
-    ends = upto.select("file_id", F.col("pre").alias("_end"), F.col("_upto").alias("_last"))
-    both = upto.join(ends, (upto["file_id"] == ends["file_id"]) & (upto["post"] == ends["_end"]))
-    return both.select(upto["file_id"], "node_id", (F.col("post") - F.col("pre") + 1).alias("nodes"), (F.col("_last") - F.col("_upto") + F.col("_own")).alias("total"))
+    ends = upto.select(F.col("file_id").alias("_f"), F.col("pre").alias("_end"), F.col("_upto").alias("_last"))
+    both = upto.join(ends, F.expr("file_id = _f and post = _end"))
+    return both.select("file_id", "node_id", (F.col("post") - F.col("pre") + 1).alias("nodes"), (F.col("_last") - F.col("_upto") + F.col("_own")).alias("total"))
 
 
 def levels(nodes: DataFrame, counted: Column) -> DataFrame:
@@ -123,8 +118,9 @@ def levels(nodes: DataFrame, counted: Column) -> DataFrame:
     opens = nodes.where(counted).select("file_id", (F.col("pre") + 1).alias("at"), F.lit(1).alias("d"))
     closes = nodes.where(counted).select("file_id", (F.col("post") + 1).alias("at"), F.lit(-1).alias("d"))
     marks = opens.union(closes).groupBy("file_id", "at").agg(F.sum("d").alias("d"))
-    both = nodes.select("file_id", "node_id", "pre").join(marks, (nodes["file_id"] == marks["file_id"]) & (F.col("pre") == F.col("at")), "full_outer")
-    both = both.select(F.coalesce(nodes["file_id"], marks["file_id"]).alias("file_id"), "node_id", F.coalesce("pre", "at").alias("at"), F.coalesce("d", F.lit(0)).alias("d"))
+    marks = marks.withColumnRenamed("file_id", "_f")
+    both = nodes.select("file_id", "node_id", "pre").join(marks, F.expr("file_id = _f and pre = at"), "full_outer")
+    both = both.select(F.coalesce("file_id", "_f").alias("file_id"), "node_id", F.coalesce("pre", "at").alias("at"), F.coalesce("d", F.lit(0)).alias("d"))
     w = Window.partitionBy("file_id").orderBy("at")
     return both.withColumn("level", F.sum("d").over(w).cast("int")).where("node_id is not null").select("file_id", "node_id", "level")
 
@@ -132,8 +128,8 @@ def levels(nodes: DataFrame, counted: Column) -> DataFrame:
 def lazify_by_level(nodes: DataFrame, threshold: int) -> DataFrame:
     """nodes with level and lazy: functions and methods of a level below threshold; a function that is called at once stays eager."""
     level = levels(nodes, F.col("interface").isin(*FUNCTIONS))
-    parents = nodes.select("file_id", F.col("node_id").alias("_pid"), F.col("interface").alias("_parent"))
-    n = nodes.join(level, ["file_id", "node_id"]).join(parents, (nodes["file_id"] == parents["file_id"]) & (nodes["parent_id"] == F.col("_pid")), "left").drop(parents["file_id"], "_pid")
+    parents = nodes.select(F.col("file_id").alias("_f"), F.col("node_id").alias("_pid"), F.col("interface").alias("_parent"))
+    n = nodes.join(level, ["file_id", "node_id"]).join(parents, F.expr("file_id = _f and parent_id = _pid"), "left").drop("_f", "_pid")
     callee = (F.col("interface") == "FunctionExpression") & (F.col("_parent") == "CallExpression") & (F.col("parent_field") == "callee")
     return n.withColumn("lazy", F.col("interface").isin(*FUNCTIONS) & (F.col("level") < threshold) & ~F.coalesce(callee, F.lit(False))).drop("_parent")
 
@@ -154,15 +150,15 @@ def pure_roots(nodes: DataFrame, pure: Column, weight: Column, threshold: int) -
     bad = subtree_sums(n, "_bad").select("file_id", "node_id", F.col("total").alias("_bads"))
     size = subtree_sums(n, "_weight").select("file_id", "node_id", F.col("total").alias("size"))
     whole = nodes.join(bad, ["file_id", "node_id"]).join(size, ["file_id", "node_id"]).where("_bads = 0")
-    clean = whole.select("file_id", F.col("node_id").alias("_cid"))
-    top = whole.join(clean, (whole["file_id"] == clean["file_id"]) & (whole["parent_id"] == F.col("_cid")), "left_anti")
+    clean = whole.select(F.col("file_id").alias("_f"), F.col("node_id").alias("_cid"))
+    top = whole.join(clean, F.expr("file_id = _f and parent_id = _cid"), "left_anti")
     return top.where(F.col("size") >= threshold).select("file_id", "node_id", "size")
 
 
 def split_lazy(nodes: DataFrame, lazy: Column) -> DataFrame:
     """nodes with part: the nearest lazy node at or above, or -1 for the eager part."""
-    l_nodes = nodes.where(lazy).select("file_id", F.col("pre").alias("_pre"), F.col("post").alias("_post"), F.col("node_id").alias("_lid"))
-    held = nodes.join(l_nodes, (nodes["file_id"] == l_nodes["file_id"]) & nodes["pre"].between(F.col("_pre"), F.col("_post"))).groupBy(nodes["file_id"], "node_id").agg(F.max(F.struct("_pre", "_lid")).alias("_l"))
+    l_nodes = nodes.where(lazy).select(F.col("file_id").alias("_f"), F.col("pre").alias("_pre"), F.col("post").alias("_post"), F.col("node_id").alias("_lid"))
+    held = nodes.join(l_nodes, F.expr("file_id = _f and pre between _pre and _post")).groupBy("file_id", "node_id").agg(F.max(F.struct("_pre", "_lid")).alias("_l"))
     return nodes.join(held, ["file_id", "node_id"], "left").withColumn("part", F.coalesce("_l._lid", F.lit(-1))).drop("_l")
 
 
@@ -170,8 +166,8 @@ def type_violations(nodes: DataFrame, fields: DataFrame, sums: DataFrame) -> Dat
     """Children whose interface the field's type does not have: (file_id, node_id, interface, parent, parent_field).
 
     fields: interface, field, type, nullable; sums: sum, interface, each interface a sum of itself."""
-    p = nodes.select("file_id", F.col("node_id").alias("_pid"), F.col("interface").alias("parent"))
-    c = nodes.where("parent_id is not null").join(p, (nodes["file_id"] == p["file_id"]) & (nodes["parent_id"] == F.col("_pid"))).select(nodes["file_id"], "node_id", "interface", "parent", "parent_field")
+    p = nodes.select(F.col("file_id").alias("_f"), F.col("node_id").alias("_pid"), F.col("interface").alias("parent"))
+    c = nodes.where("parent_id is not null").join(p, F.expr("file_id = _f and parent_id = _pid")).select("file_id", "node_id", "interface", "parent", "parent_field")
     known = fields.select(F.col("interface").alias("_fi"), "field", "type", "nullable")
     c = c.join(F.broadcast(known), (F.col("parent") == F.col("_fi")) & (F.col("parent_field") == F.col("field")), "left")
     s = sums.select(F.col("sum").alias("_sum"), F.col("interface").alias("_si")).distinct()
@@ -191,10 +187,10 @@ def property_mismatch(found: DataFrame, expected: DataFrame) -> DataFrame:
 
 def without_scopes(nodes: DataFrame, scoped: str = "WithDictionary") -> DataFrame:
     """Takes scoped-dictionary nodes out; their children move up to the parent."""
-    out = nodes.where(F.col("interface") == scoped).select("file_id", F.col("node_id").alias("_sid"), F.col("parent_id").alias("_up"), F.col("parent_field").alias("_field"), F.col("list_pos").alias("_pos"))
-    n = nodes.where(F.col("interface") != scoped).join(out, (nodes["file_id"] == out["file_id"]) & (nodes["parent_id"] == F.col("_sid")), "left")
+    out = nodes.where(F.col("interface") == scoped).select(F.col("file_id").alias("_f"), F.col("node_id").alias("_sid"), F.col("parent_id").alias("_up"), F.col("parent_field").alias("_field"), F.col("list_pos").alias("_pos"))
+    n = nodes.where(F.col("interface") != scoped).join(out, F.expr("file_id = _f and parent_id = _sid"), "left")
     moved = {"parent_id": "_up", "parent_field": "_field", "list_pos": "_pos"}
-    return n.select(*(F.when(F.col("_sid").isNotNull(), F.col(moved[c])).otherwise(F.col(c)).alias(c) if c in moved else nodes[c] for c in nodes.columns))
+    return n.select(*(F.when(F.col("_sid").isNotNull(), F.col(moved[c])).otherwise(F.col(c)).alias(c) if c in moved else F.col(c) for c in nodes.columns))
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
