@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import Scratch, ascii_lower, table
+from .util import LOWER, UPPER, Scratch, ascii_lower, table
 
 WINDOW = 10
 BROADCAST_ROWS = 500_000  # of test windows or terms; more are joined by shuffling
@@ -122,3 +122,20 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> Dat
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _sql_words(column: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({column}, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+OP6_SQL = f"""
+with d as (select doc_id, {_sql_words("text")} as w from documents),
+b as (select coalesce(cast(item_id as varchar), '') as item, {_sql_words("text")} as w from benchmark),
+win as (select distinct item, least(len(w), 10) as n, array_to_string(w[i:i + 9], ' ') as phrase from (select item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) as i from b where len(w) > 0)),
+g as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as phrase from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from win) where len(w) >= n)),
+m as (select g.doc_id, g.i, g.n, win.item from g join win on g.phrase = win.phrase and g.n = win.n),
+h as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from m) group by doc_id),
+t as (select doc_id, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as items from (select distinct doc_id, item from m) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, coalesce(items, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h on h.doc_id = d.doc_id left join t on t.doc_id = d.doc_id
+"""
