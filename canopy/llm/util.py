@@ -50,7 +50,10 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="canopy-scratch-")
         spark.sparkContext.setCheckpointDir(root)
-    return root
+    # With its scheme, so that Python on the executors opens the file system that Spark means.
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + whole[5:] if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 class Scratch:
