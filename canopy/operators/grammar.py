@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from dataclasses import dataclass, field
 
@@ -265,3 +266,60 @@ def baseline(g: Grammar) -> list[tuple[str, str, str, str | None]]:
                     elif m in g.interfaces:
                         out.append((i.name, label, "interface_name", m))
     return sorted(set(out))
+
+
+def type_rank(g: Grammar, t: Type) -> tuple:
+    """Sorts types: primitives, sums, lists, enumerations, interfaces, then names yet to be resolved."""
+    name = t.names[0]
+    if t.array:
+        return 2, type_rank(g, Type(t.names))
+    if len(t.names) > 1:
+        return 1, tuple(sorted(t.names))
+    order = 0 if name in PRIMITIVES else 3 if name in g.enums else 4 if name in g.interfaces else 5
+    return order, name
+
+
+def random_tree(g: Grammar, start: str, seed: int, depth: int = 5, longest: int = 15, null_share: float = 0.1) -> dict:
+    """A tree that the grammar allows, the same for the same seed. Below the depth options are null and lists empty."""
+    rng, sums = random.Random(seed), resolve(g)
+    cheapest = _heights(g, sums)
+
+    def value(t: Type, left: int):
+        if t.or_null and (left <= 0 or rng.random() < null_share):
+            return None
+        if t.array:
+            n = rng.randint(0, longest) if left > 0 else 0
+            return [value(Type(t.names), left - 1) for _ in range(n)]
+        name = rng.choice(t.names)
+        if name in g.typedefs and name not in g.interfaces and (g.typedefs[name].array or g.typedefs[name].or_null):
+            return value(g.typedefs[name], left)
+        members = sorted(m for n in t.names for m in sums.get(n, {n}))
+        inner = [m for m in members if m in g.interfaces]
+        if inner:
+            return node(rng.choice(inner) if left > 0 else min(inner, key=lambda m: (cheapest[m], m)), left)
+        m = rng.choice(members)
+        if m in g.enums:
+            return rng.choice(g.enums[m])
+        return {"boolean": rng.random() < 0.5, "double": rng.choice([0.0, 1.5, -2.0, 1e9]), "long": rng.randint(-99, 99), "unsigned long": rng.randint(0, 99)}.get(m, rng.choice(["", "a", "b", "name"]))
+
+    def node(name: str, left: int) -> dict:
+        return {"type": name} | {f: value(t, left - 1) for f, t, _ in g.interfaces[name].fields}
+
+    return node(start, depth)
+
+
+def _heights(g: Grammar, sums: dict[str, frozenset[str]]) -> dict[str, int]:
+    """How deep the smallest tree of each interface is."""
+    heights = dict.fromkeys(g.interfaces, 10**6)
+    for _ in g.interfaces:
+        before = dict(heights)
+        for i in g.interfaces.values():
+            need = [0]
+            for _, t, _ in i.fields:
+                aliased = [g.typedefs[n] for n in t.names if n in g.typedefs]
+                if not (t.array or t.or_null or any(a.array or a.or_null for a in aliased)):
+                    need.append(1 + min((heights.get(m, 0) for n in t.names for m in sums.get(n, {n})), default=0))
+            heights[i.name] = max(need)
+        if heights == before:
+            break
+    return heights

@@ -196,3 +196,57 @@ def without_scopes(nodes: DataFrame, scoped: str = "WithDictionary") -> DataFram
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that one of two tables has more often than the other, with side."""
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+
+
+def repair_numbers(tokens: DataFrame, fields: DataFrame) -> DataFrame:
+    """tokens with whole numbers as doubles where the grammar's field is one; others keep their kind.
+
+    tokens: path, kind ('unsigned_long' for whole numbers); fields: interface, field, type."""
+    last = F.element_at("path", -1)
+    f = fields.where("type = 'double'").select(F.col("interface").alias("_i"), F.col("field").alias("_f")).distinct()
+    t = tokens.withColumn("_li", F.when(F.size("path") > 0, last["interface"])).withColumn("_lf", F.when(F.size("path") > 0, last["field"]))
+    t = t.join(F.broadcast(f), F.expr("_li = _i and _lf = _f"), "left")
+    return t.withColumn("kind", F.when(F.col("_i").isNotNull() & (F.col("kind") == "unsigned_long"), "float").otherwise(F.col("kind"))).select(*tokens.columns)
+
+
+def reset_offsets(tokens: DataFrame) -> DataFrame:
+    """Offsets are made anew by every writer: for comparison they are all 0."""
+    return tokens.withColumn("value_num", F.when(F.col("kind") == "offset", 0.0).otherwise(F.col("value_num")))
+
+
+def restore_lazy(parts: DataFrame) -> DataFrame:
+    """The node table from its parts: ids and preorder numbers are the whole tree's still."""
+    return parts.drop("part")
+
+
+def key_remap(tokens: DataFrame, pairs: dict[tuple[str, str], tuple[str, str]]) -> DataFrame:
+    """Sends (interface, field) keys to those whose model they share."""
+    interface, fld = F.col("interface"), F.col("field")
+    for (i, f), (to_i, to_f) in pairs.items():
+        hit = (F.col("interface") == i) & (F.col("field") == f)
+        interface, fld = F.when(hit, to_i).otherwise(interface), F.when(hit, to_f).otherwise(fld)
+    return tokens.withColumns({"interface": interface, "field": fld})
+
+
+#: Statements that count one besides what is in them, and those that only hold others.
+COUNTED = ("DoWhileStatement", "ForInStatement", "ForOfStatement", "ForStatement", "WhileStatement", "LabelledStatement", "SwitchStatement", "SwitchStatementWithDefault")
+HOLDERS = ("Block", "IfStatement", "SwitchCase", "SwitchDefault")
+ENDLESS = ("TryCatchStatement", "TryFinallyStatement")
+MANY = 10**10
+
+
+def statement_lengths(nodes: DataFrame) -> DataFrame:
+    """(file_id, node_id, length): a rough size of each statement's subtree; a try statement counts as very long."""
+    own = F.when(F.col("interface").isin(*ENDLESS), MANY).when(F.col("interface").isin(*HOLDERS), 0)
+    own = own.when(F.col("interface").isin(*COUNTED) | F.col("interface").endswith("Statement") | F.col("interface").endswith("Declaration"), 1).otherwise(0)
+    sums = subtree_sums(nodes.withColumn("_own", own.cast("long")), "_own")
+    return sums.select("file_id", "node_id", F.least("total", F.lit(MANY)).alias("length"))
+
+
+def enrich(nodes: DataFrame, lazy_below: int = 0, pure: Column | None = None, dictionary: str = "pojo", least: int = 1) -> DataFrame:
+    """The chain of rewrites: lazy functions if lazy_below > 0, and scoped dictionaries on the topmost pure subtrees if asked for."""
+    out = nodes.transform(lazify_by_level, lazy_below) if lazy_below > 0 else nodes.withColumn("lazy", F.lit(False))
+    if pure is None:
+        return out.withColumn("dictionary", F.lit(None).cast("string"))
+    top = pure_roots(nodes, pure, F.lit(1), least).select("file_id", "node_id", F.lit(dictionary).alias("dictionary"))
+    return out.join(top, ["file_id", "node_id"], "left")
