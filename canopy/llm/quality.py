@@ -8,7 +8,9 @@ first cutoff that fails (fixed-sequence testing, so the row of cutoffs needs no
 further correction), and the confidence is divided over all strata and measures
 (Bonferroni). So, with probability 1 - delta over the labelled sample, no
 stratum's chosen rules together reject more than `risk` of its good documents.
-A stratum with too few labels for a bound gets no cutoff, and rejects nothing.
+Of the cutoffs that pass, the strictest is used at which the lower bound on the
+share of bad documents rejected is above the upper bound for good ones. A stratum
+with too few labels for such bounds gets no cutoff, and rejects nothing.
 """
 
 from __future__ import annotations
@@ -146,19 +148,25 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.02, delt
     """stratum -> measure -> cutoff, from all labelled documents that the base rules keep.
 
     A document is good if its quality is 1 (the least of repeated labels). What
-    reaches the driver is, for each stratum, a count for each cutoff."""
-    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
-    held = measured.where(~F.col("base_failed")).join(good.select("doc_id"), "doc_id", "left_semi")
-    held = held.select("stratum", *(c.alias(k) for k, c in in_thousandths().items()))
-    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *(F.count_if(F.col(k) > cut).alias(f"{k}_{cut}") for k, cuts in MEASURES.items() for cut in cuts)).collect()
-    each = delta / max(1, len(counts) * len(MEASURES))
+    reaches the driver is, for each stratum and class, a count for each cutoff."""
+    told = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    held = measured.where(~F.col("base_failed")).join(told, "doc_id")
+    held = held.select("stratum", (F.col("quality") == 1).alias("good"), *(c.alias(k) for k, c in in_thousandths().items()))
+    above = [F.count_if(F.col(k) > cut).alias(f"{k}_{cut}") for k, cuts in MEASURES.items() for cut in cuts]
+    counts = {(r["stratum"], r["good"]): r for r in held.groupBy("stratum", "good").agg(F.count("*").alias("n"), *above).collect()}
+    strata = sorted({s for s, _ in counts})
+    each = delta / max(1, len(strata) * len(MEASURES))
     chosen: dict[str, dict[str, int]] = {}
-    for r in counts:
+    for stratum in strata:
+        good, bad = counts.get((stratum, True)), counts.get((stratum, False))
         for k, cuts in MEASURES.items():
-            for cut in cuts:
-                if upper_bound(r[f"{k}_{cut}"], r["n"], each) > risk / len(MEASURES):
+            for cut in cuts if good and bad else ():
+                most = upper_bound(good[f"{k}_{cut}"], good["n"], each)
+                if most > risk / len(MEASURES):
                     break
-                chosen.setdefault(r["stratum"], {})[k] = cut
+                # It must pay: of the bad documents it surely rejects a larger share.
+                if 1 - upper_bound(bad["n"] - bad[f"{k}_{cut}"], bad["n"], each) > most:
+                    chosen.setdefault(stratum, {})[k] = cut
     return chosen
 
 

@@ -390,10 +390,12 @@ def test_upper_bound_is_exact(x, n, delta):
 
 def test_cutoffs_keep_their_promise(spark):
     rng = random.Random(4)
-    rows = [(i, "a", 100, 500, int(rng.expovariate(1 / 20)), 0, 0, False) for i in range(6000)]
+    rows = [(i, "a" if i % 5 else "few", 100, 500, int(rng.expovariate(1 / 20) * (1 + 5 * (i % 8 == 0))), rng.randint(0, 3), 0, False) for i in range(12_000)]
     measured = spark.createDataFrame(rows, "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean")
-    labels = spark.createDataFrame([(i, 1) for i in range(0, 6000, 2)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(i, int(i % 8 > 0)) for i in range(12_000) if i % 5 or i < 100], "doc_id long, quality int")
     cutoffs = quality.fit_cutoffs(measured, labels)
-    assert "symbols_pm" in cutoffs["a"]
+    assert set(cutoffs) == {"a"} and set(cutoffs["a"]) == {"symbols_pm"}
     kept = quality.judge(measured, cutoffs)
-    assert 0 < kept.where("not kept").count() <= 0.02 * 6000
+    good, bad = (kept.where(f"stratum = 'a' and doc_id % 8 {c} 0") for c in (">", "="))
+    assert good.where("not kept").count() <= 0.02 * good.count() and bad.where("not kept").count() > 0.1 * bad.count()
+    assert kept.where("stratum = 'few' and not kept").count() == 0
