@@ -13,8 +13,8 @@ document with a smaller id.
 3. Automata: documents are dealt into shards, and a shard gets the passages that
    its own documents hold. Each shard compiles the 25-word phrases of its passages
    into an Aho-Corasick automaton over word numbers and streams its documents
-   through it. From each hit the common run of document and passage is followed
-   word by word to both sides; runs of 50 words or more are removed.
+   through it. Windows around each place found are looked up among those of the
+   passages and compared word by word; what a smaller document has is removed.
 
 What a shard holds is bounded by its own documents, also where one passage is in a
 third of all documents: then each shard has that passage once.
@@ -23,7 +23,6 @@ third of all documents: then each shard has that passage once.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import MULTIPLIER, SECOND, Scratch, chunks, rolling, table, word_hashes, words_of
+from .util import MULTIPLIER, SECOND, Scratch, chunks, mix, rolling, table, word_hashes, words_of
 
 WINDOW = 50
 ANCHOR = 16
@@ -124,7 +123,11 @@ def _passages(batches):
 
 
 class PhraseAutomaton:
-    """The passages of a shard: an automaton of their phrases, and the runs that a document shares with them."""
+    """The passages of a shard: an automaton of their phrases, and a sorted table of their windows.
+
+    The automaton tells where a document holds a phrase. Only windows around such
+    places are looked up in the table, each once, and compared word by word; so a
+    document's cost does not grow with the number of passages that share a phrase."""
 
     def __init__(self, window: int = WINDOW, phrase: int = PHRASE):
         self.window, self.phrase = window, phrase
@@ -135,46 +138,71 @@ class PhraseAutomaton:
     def add(self, doc_id: int, text: str) -> None:
         words = words_of(text)
         ids = np.fromiter((self.numbers.setdefault(w, len(self.numbers) + 1) for w in words), np.int64, len(words))
-        self.passages.append((doc_id, ids))
+        if len(ids) >= self.window:
+            self.passages.append((doc_id, ids))
+
+    def _hashes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = mix(ids.astype(np.uint64) + SECOND)
+        return rolling(own, self.window, MULTIPLIER), rolling(own, self.window, SECOND)
 
     def compile(self) -> None:
         import ahocorasick
 
-        places: dict[tuple, list[tuple[int, int]]] = {}
-        for k, (_, ids) in enumerate(self.passages):
-            for at in range(0, len(ids) - self.phrase + 1, self.phrase):
-                places.setdefault(tuple(ids[at : at + self.phrase].tolist()), []).append((k, at))
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for phrase, where in places.items():
-            self.machine.add_word(phrase, where)
-        if places:
-            self.machine.make_automaton()
-
-    def runs(self, doc_id: int, words: list[bytes]) -> Iterator[tuple[int, int]]:
-        """(start, end) of the words that windows of smaller documents cover."""
-        if not len(self.machine) or len(words) < self.window:
+        if not self.passages:
             return
-        get = self.numbers.get
-        ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-        done: dict[tuple[int, int], int] = {}  # (passage, diagonal) -> end of the run followed last
-        for end, where in self.machine.iter(tuple(ids.tolist())):
-            start = end - self.phrase + 1
-            for k, at in where:
-                owner, passage = self.passages[k]
-                if owner >= doc_id or done.get((k, start - at), -1) > end:
-                    continue
-                left, right = self._follow(ids, start, passage, at)
-                done[k, start - at] = right
-                if right - left >= self.window:
-                    yield left, right
-
-    def _follow(self, ids: np.ndarray, start: int, passage: np.ndarray, at: int) -> tuple[int, int]:
-        back = min(start, at)
-        differ = np.nonzero(ids[start - back : start][::-1] != passage[at - back : at][::-1])[0]
-        left = start - (int(differ[0]) if len(differ) else back)
-        ahead = min(len(ids) - start, len(passage) - at)
-        differ = np.nonzero(ids[start : start + ahead] != passage[at : at + ahead])[0]
-        return left, start + (int(differ[0]) if len(differ) else ahead)
+        for _, ids in self.passages:
+            for at in range(0, len(ids) - self.phrase + 1, self.phrase):
+                self.machine.add_word(tuple(ids[at : at + self.phrase].tolist()), True)
+        self.machine.make_automaton()
+        n = np.array([len(ids) for _, ids in self.passages])
+        begins = np.cumsum(n) - n
+        self.flat = np.concatenate([ids for _, ids in self.passages])
+        place = np.concatenate([b + np.arange(k - self.window + 1) for b, k in zip(begins, n, strict=True)])
+        owner = np.repeat([doc_id for doc_id, _ in self.passages], n - self.window + 1)
+        h1, h2 = (h[place] for h in self._hashes(self.flat))
+        order = np.lexsort((owner, h2, h1))
+        h1, h2 = h1[order], h2[order]
+        first = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]  # of equal windows that of the smallest document
+        self.h1, self.h2, self.owner, self.place = h1[first], h2[first], owner[order][first], place[order][first]
+
+    def covered(self, doc_id: int, words: list[bytes]) -> np.ndarray:
+        """For each word whether a window that a smaller document has covers it."""
+        edge = np.zeros(len(words) + 1, np.int64)
+        if len(self.machine) and len(words) >= self.window:
+            get = self.numbers.get
+            ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+            ends = np.fromiter((end for end, _ in self.machine.iter(tuple(ids.tolist()))), np.int64)
+            starts = self._windows_at(ends, len(ids) - self.window)
+            h1, h2 = (h[starts] for h in self._hashes(ids))
+            # Equal first hashes are rare; all of them are tried in turn.
+            at = np.searchsorted(self.h1, h1)
+            hit = np.zeros(len(starts), bool)
+            while len(at):
+                inside = at < len(self.h1)
+                same = inside & (self.h1[np.where(inside, at, 0)] == h1)
+                if not same.any():
+                    break
+                i = np.nonzero(same & ~hit)[0]
+                i = i[(self.h2[at[i]] == h2[i]) & (self.owner[at[i]] < doc_id)]
+                hit[i] = self._equal(ids, starts[i], self.place[at[i]])
+                at = np.where(same, at + 1, len(self.h1))
+            np.add.at(edge, starts[hit], 1)
+            np.add.at(edge, starts[hit] + self.window, -1)
+        return np.cumsum(edge[:-1]) > 0
+
+    def _windows_at(self, ends: np.ndarray, last: int) -> np.ndarray:
+        """Starts of all windows that hold a phrase which ends at one of ends."""
+        edge = np.zeros(last + 2, np.int64)
+        np.add.at(edge, np.clip(ends - self.window + 1, 0, last + 1), 1)
+        np.add.at(edge, np.clip(ends - self.phrase + 2, 0, last + 1), -1)
+        return np.nonzero(np.cumsum(edge[:-1]) > 0)[0]
+
+    def _equal(self, ids: np.ndarray, starts: np.ndarray, places: np.ndarray) -> np.ndarray:
+        out = np.ones(len(starts), bool)
+        for k in range(self.window):
+            out &= ids[starts + k] == self.flat[places + k]
+        return out
 
 
 def _stream(batches):
@@ -191,11 +219,7 @@ def _stream(batches):
             if machine.machine is None:
                 machine.compile()
             words = words_of(text)
-            edge = np.zeros(len(words) + 1, np.int64)
-            for left, right in machine.runs(doc_id, words):
-                edge[left] += 1
-                edge[right] -= 1
-            gone = np.cumsum(edge[:-1]) > 0
+            gone = machine.covered(doc_id, words)
             if gone.any():
                 kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
                 out.append((doc_id, sha, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")))
