@@ -32,17 +32,22 @@ from .util import Scratch, chunks, open_fs, table
 MAGIC = b"IDPLANE1"
 BLOCK = 65_536
 FILE_IDS = 1 << 26  # a file is closed after so many ids
-KNOWN_FRAGMENTS = 500_000
+KNOWN_FRAGMENTS = 300_000
 LONGEST_KNOWN = 48  # characters; longer fragments are not kept
 #: A space before any other than white space always begins a new word of the byte-level pattern.
 BREAK = re.compile(r" (?=\S)")
 ODD = re.compile(r" (?:\s|$)")
-MARKS = ".,;:!?|"
-SPACE = "\u0120"  # the byte alphabet's sign for a space
+#: Latin letters, digits, marks and line breaks, for which the pattern needs no classes of other scripts.
+LATIN = re.compile("[\\n!-~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u024f]+")
+#: What the byte-level pattern finds in such text.
+WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
 
 
 class FragmentEncoder(dict):
-    """Fragment -> its ids as little-endian uint32 bytes. All but a text's first begin with the space cut off."""
+    """Fragment -> its ids as little-endian uint32 bytes. All but a text's first begin with the space cut off.
+
+    Latin fragments are split into the pattern's words here, and only the merges
+    are left to the library; words repeat even more often than fragments."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -54,37 +59,38 @@ class FragmentEncoder(dict):
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.letters = {b: c for c, b in byte_alphabet().items()}
-        self.marks = {m: self.plain(m) for m in MARKS}
+        self.known_words: dict[str, bytes] = {}
+
+    def word(self, word: str) -> bytes:
+        found = self.known_words.get(word)
+        if found is None:
+            found = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            if len(self.known_words) >= KNOWN_FRAGMENTS:
+                self.known_words.clear()
+            self.known_words[word] = found
+        return found
+
+    def __missing__(self, fragment: str) -> bytes:
+        if LATIN.fullmatch(fragment) and "<|" not in fragment:
+            words = WORD.findall(" " + fragment)
+            out = self.word(words[0]) if len(words) == 1 else b"".join(map(self.word, words))
+        else:
+            out = self.plain(" " + fragment)
+        if len(fragment) <= LONGEST_KNOWN:
+            if len(self) >= KNOWN_FRAGMENTS:
+                self.clear()
+            self[fragment] = out
+        return out
 
     def plain(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def learn(self, fragments: set[str]) -> None:
-        """Encodes fragments that are not known yet. A mark after a letter is a word of its own in the pattern."""
-        bases = {f: f[:-1] if len(f) > 1 and f[-1] in MARKS and f[-2].isalpha() else f for f in fragments}
-        new = [b for b in {*bases.values()} if b not in self]
-        tokenize, letters = self.model.tokenize, self.letters
-        for f in new:
-            if f.isalpha():  # one word of the pattern with its space: the merges alone are left to do
-                self[f] = array("I", [t.id for t in tokenize(SPACE + (f if f.isascii() else f.encode().decode("latin-1").translate(letters)))]).tobytes()
-        new = [f for f in new if not f.isalpha()]
-        for f, e in zip(new, self.tokenizer.encode_batch_fast([" " + f for f in new], add_special_tokens=False), strict=True):
-            self[f] = array("I", e.ids).tobytes()
-        for f, b in bases.items():
-            if f is not b:
-                self[f] = self[b] + self.marks[f[-1]]
-
-    def texts(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian uint32 ids of whole texts."""
-        split = [(BREAK.split(t) if ODD.search(t) else t.split(" ")) if t else [""] for t in texts]
-        found = [list(map(self.get, s)) for s in split]
-        holes = [(s, f) for s, f in zip(split, found, strict=True) if None in f]
-        if len(self) > KNOWN_FRAGMENTS:
-            self.clear()
-        self.learn({w for s, f in holes for w, x in zip(s[1:], f[1:], strict=True) if x is None and len(w) <= LONGEST_KNOWN})
-        for s, f in holes:
-            f[:] = [self.get(w) or self.plain(" " + w) if x is None else x for w, x in zip(s, f, strict=True)]
-        return [b"".join([self.plain(s[0]) if s[0] else b"", *f[1:]]) for s, f in zip(split, found, strict=True)]
+    def text(self, text: str | None) -> bytes:
+        """Little-endian uint32 ids of a whole text."""
+        if not text:
+            return b""
+        first, *rest = BREAK.split(text) if ODD.search(text) else text.split(" ")
+        return b"".join([self.plain(first) if first else b"", *map(self.__getitem__, rest)])
 
 
 _encoders: dict[str, FragmentEncoder] = {}
@@ -204,11 +210,11 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 0, kind: st
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file_no": pa.array([file_no], pa.int32()), "path": [target], "n_docs": pa.array([len(w.docs)], pa.int64()), "n_ids": pa.array([w.n_ids], pa.int64())})
 
         for rows in chunks(batches, lambda r: len(r[1] or "") // 6, 200_000):
-            for (doc_id, _), ids in zip(rows, enc.texts([r[1] for r in rows]), strict=True):
+            for doc_id, text in rows:
                 if w is None:
                     target = f"{folder}/{part:06d}-{file_no:03d}-{uuid.uuid4().hex[:8]}.idp"
                     w = PlaneWriter(fs.open_output_stream(open_fs(target)[1]), kind)
-                w.add(doc_id, np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)))
+                w.add(doc_id, np.append(np.frombuffer(enc.text(text), "<u4"), np.uint32(end_id)))
                 if w.n_ids >= FILE_IDS:
                     yield close()
                     w, file_no = None, file_no + 1
