@@ -198,12 +198,11 @@ def dictionary_union_fallback(spark, sf_dir):
     "left join d on d.lang is not distinct from te.lang and d.source = te.source and d.value = te.value left join s on s.source = te.source and s.value = te.value"
 )
 def fallback_lookup(spark, sf_dir):
-    """First words of held-out documents under the distribution of (lang, source), else of the source."""
-    heads = words(spark, sf_dir, "lang", "source").where("seq = 0").drop("seq")
-    train, test = heads.where("file_id % 10 <> 0"), heads.where("file_id % 10 = 0")
-    deep = dictionary.distributions(tokens.instances(train.where("file_id % 3 = 0"), "lang", "source", "value"), ["lang", "source"], "value")
-    shallow = dictionary.distributions(tokens.instances(train, "source", "value"), ["source"], "value")
-    return dictionary.fallback_lookup(test, deep, shallow, ["lang", "source"], ["source"], "value").select("file_id", "lang", "source", "value", "used_depth", "n", "total")
+    """Every word of every document under the distribution of (lang, source), else of the source, both counted over all documents."""
+    w = words(spark, sf_dir, "lang", "source").drop("seq")
+    counts = tokens.instances(w, "lang", "source", "value").where("n > 0")  # always true; keeps n in the plan, so one exchange serves all uses
+    shallow = dictionary.with_total(counts.groupBy("source", "value").agg(F.sum("n").alias("n")), ["source"])
+    return dictionary.fallback_lookup(w, dictionary.with_total(counts, ["lang", "source"]), shallow, ["lang", "source"], ["source"], "value").select("file_id", "lang", "source", "value", "used_depth", "n", "total")
 
 
 @query(f"with {CDF} select s.user_id, s.seq, c.symbol_index, s.value as decoded from symbols s join cdf c on c.prev is not distinct from s.prev and c.value = s.value")

@@ -100,24 +100,35 @@ def fallback_contexts(counts: DataFrame, baseline: DataFrame, full: list[str], t
     return long.unionByName(short.select(*full, value, F.lit(1).cast("long").alias("n"), F.lit(len(tail)).alias("depth")))
 
 
+def with_total(counts: DataFrame, context: list[str]) -> DataFrame:
+    """counts with total, the sum of n of each context: what a lookup needs of distributions, without putting a context in order."""
+    sums = counts.groupBy(*(F.col(c).alias(f"_{c}") for c in context)).agg(F.sum("n").alias("total"))
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in context))
+    return counts.join(sums, same).select(*counts.columns, "total")
+
+
 def fallback_lookup(tokens: DataFrame, deep: DataFrame, shallow: DataFrame, full: list[str], tail: list[str], value: str) -> DataFrame:
     """tokens with used_depth, n and total from the first known context of [full, tail].
 
-    The known context decides, also where it lacks the value: then n is null."""
+    The known context decides, also where it lacks the value: then n is null.
+    Contexts are few, so they are sought for each distinct (full, value) and not
+    for each token; tokens are joined once, by all of these columns."""
     d = deep.select(*(F.col(c).alias(f"_d_{c}") for c in full)).distinct().withColumn("_deep", F.lit(True))
     s = shallow.select(*(F.col(c).alias(f"_s_{c}") for c in tail)).distinct().withColumn("_shallow", F.lit(True))
 
     def same(prefix: str, cols: list[str]) -> Column:
         return reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in cols))
 
-    t = tokens.join(d, same("_d_", full), "left").join(s, same("_s_", tail), "left")
+    asked = tokens.groupBy(*full, value).agg(F.count("*").alias("n")).where("n > 0").drop("n")  # n stays in the plan, so the exchange of equal counts is used again
+    t = asked.join(d, same("_d_", full), "left").join(s, same("_s_", tail), "left")
     t = t.withColumn("used_depth", F.when(F.col("_deep"), len(full)).when(F.col("_shallow"), len(tail)).otherwise(-1))
     t = t.drop(*(f"_d_{c}" for c in full), *(f"_s_{c}" for c in tail), "_deep", "_shallow")
     dv = deep.select(*(F.col(c).alias(f"_d_{c}") for c in full), F.col(value).alias("_dv"), F.col("n").alias("_dn"), F.col("total").alias("_dt"))
     sv = shallow.select(*(F.col(c).alias(f"_s_{c}") for c in tail), F.col(value).alias("_sv"), F.col("n").alias("_sn"), F.col("total").alias("_st"))
     t = t.join(dv, same("_d_", full) & F.col(value).eqNullSafe(F.col("_dv")) & (F.col("used_depth") == len(full)), "left")
     t = t.join(sv, same("_s_", tail) & F.col(value).eqNullSafe(F.col("_sv")) & (F.col("used_depth") == len(tail)), "left")
-    return t.select(*tokens.columns, "used_depth", F.coalesce("_dn", "_sn").alias("n"), F.coalesce("_dt", "_st").alias("total"))
+    found = t.select(*(F.col(c).alias(f"_f_{c}") for c in [*full, value]), "used_depth", F.coalesce("_dn", "_sn").alias("n"), F.coalesce("_dt", "_st").alias("total"))
+    return tokens.join(found, same("_f_", [*full, value]), "left").select(*tokens.columns, "used_depth", "n", "total")
 
 
 def value_at(dists: DataFrame, wanted: DataFrame, context: list[str], value: str) -> DataFrame:
