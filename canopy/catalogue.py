@@ -221,22 +221,22 @@ TRAINED = f"{WORDS}, shared as (select value, row_number() over (order by value)
 
 
 def trained(spark, sf_dir):
-    """(tokens of held-out documents, shared table of the rest)."""
+    """(tokens of all documents, shared table of all documents)."""
     w = words(spark, sf_dir)
-    return w.where("file_id % 10 = 0"), dictionary.linear_table(tokens.file_frequency(w.where("file_id % 10 <> 0"), "value"), THRESHOLD)
+    return w, dictionary.linear_table(tokens.file_frequency(w, "value"), THRESHOLD)
 
 
 @query(f"with {TRAINED} select t.file_id, t.seq, t.value, s.idx from test t join shared s on s.value = t.value")
 def dictionary_hits(spark, sf_dir):
-    test, shared = trained(spark, sf_dir)
-    return dictionary.hits(test, shared).where("idx is not null").select("file_id", "seq", "value", "idx")
+    every, shared = trained(spark, sf_dir)
+    return dictionary.hits(every, shared).where("idx is not null").select("file_id", "seq", "value", "idx")
 
 
 @query(f"with {TRAINED}, m as (select file_id, value, min(seq) as first from test where value not in (select value from shared) group by all) select file_id, value, first, row_number() over (partition by file_id order by first) - 1 as idx from m")
 def dictionary_misses(spark, sf_dir):
     """What is missing, numbered for each file in the order it is first seen: the file's prelude."""
-    test, shared = trained(spark, sf_dir)
-    return tokens.first_seen(dictionary.misses(test, shared), "file_id", "value")
+    every, shared = trained(spark, sf_dir)
+    return tokens.first_seen(dictionary.misses(every, shared), "file_id", "value")
 
 
 @query(
@@ -245,8 +245,8 @@ def dictionary_misses(spark, sf_dir):
 )
 def prelude_table(spark, sf_dir):
     """Shared table and prelude in one; a value in both would be an error."""
-    test, shared = trained(spark, sf_dir)
-    prelude = dictionary.dense_index(dictionary.misses(test, shared).select("value").distinct(), "value")
+    every, shared = trained(spark, sf_dir)
+    prelude = dictionary.dense_index(dictionary.misses(every.select("value").distinct(), shared), "value")
     return dictionary.with_prelude(shared, prelude)
 
 

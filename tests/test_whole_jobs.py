@@ -16,7 +16,14 @@ from canopy.operators import dictionary
 duckdb = pytest.importorskip("duckdb")
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
+SHARED = f"{catalogue.WORDS}, shared as (select value, row_number() over (order by value) - 1 as idx from (select value from words group by value having count(distinct file_id) > {catalogue.THRESHOLD}))"
+
 WHOLE = {
+    "dictionary_hits": f"with {SHARED} select w.file_id, w.seq, w.value, s.idx from words w join shared s on s.value = w.value",
+    "dictionary_misses": f"with {SHARED}, m as (select file_id, value, min(seq) as first from words where value not in (select value from shared) group by all) "
+    "select file_id, value, first, row_number() over (partition by file_id order by first) - 1 as idx from m",
+    "prelude_table": f"with {SHARED}, p as (select value, row_number() over (order by value) - 1 as idx from (select distinct value from words where value not in (select value from shared))) "
+    "select value, idx, 'shared' as origin from shared union all select value, idx, 'prelude' from p",
     "fallback_lookup": f"with {catalogue.WORDS}, d as (select lang, source, value, count(*) as n, sum(count(*)) over (partition by lang, source) as total from words group by lang, source, value) "
     "select w.file_id, w.lang, w.source, w.value, 2 as used_depth, d.n, cast(d.total as bigint) as total from words w join d on d.lang is not distinct from w.lang and d.source is not distinct from w.source and d.value = w.value",
 }
