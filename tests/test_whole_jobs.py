@@ -24,6 +24,10 @@ WHOLE = {
     "select file_id, value, first, row_number() over (partition by file_id order by first) - 1 as idx from m",
     "prelude_table": f"with {SHARED}, p as (select value, row_number() over (order by value) - 1 as idx from (select distinct value from words where value not in (select value from shared))) "
     "select value, idx, 'shared' as origin from shared union all select value, idx, 'prelude' from p",
+    "dictionary_union_fallback": f"with {catalogue.WORDS}, c as (select lang, source, value, count(*) as n from words group by all), b as (select distinct source, value from words), "
+    "p as (select k.lang, k.source, b.value from (select distinct lang, source from c) k join b on k.source = b.source) "
+    "select lang, source, value, n, 2 as depth from c union all select lang, source, value, 1, 2 from p where not exists (select 1 from c where c.lang is not distinct from p.lang and c.source = p.source and c.value = p.value) "
+    "union all select null, source, value, 1, 1 from b",
     "fallback_lookup": f"with {catalogue.WORDS}, d as (select lang, source, value, count(*) as n, sum(count(*)) over (partition by lang, source) as total from words group by lang, source, value) "
     "select w.file_id, w.lang, w.source, w.value, 2 as used_depth, d.n, cast(d.total as bigint) as total from words w join d on d.lang is not distinct from w.lang and d.source is not distinct from w.source and d.value = w.value",
 }
