@@ -26,6 +26,7 @@ from .util import Scratch, open_fs, table
 
 VERSION = b"WARC/1.1"
 MAGIC = b"\x1f\x8b\x08"
+MARK = b"WARC/"
 LEAST_SHARED = 100  # bytes from which equal payloads are written once
 SMALL_MB = 8  # a table of repeated payloads up to this size is broadcast
 FILE_BYTES = 256 << 20
@@ -159,24 +160,43 @@ def _plain(w: Window) -> tuple[Record, int]:
     return parse_record(w.data, w.at, whole=False)
 
 
+def _either(w: Window) -> tuple[Record, int]:
+    """The record at the window's place, packed or plain as its first bytes say."""
+    w.fill(len(MARK))
+    if w.data.startswith(MAGIC):
+        return _member(w)
+    if w.data.startswith(MARK):
+        return _plain(w)
+    raise Broken("neither gzip member nor version line")
+
+
+def _next(w: Window, marks: tuple[bytes, ...]) -> None:
+    """Skips to the first of the marks, or to the end."""
+    longest, found = max(map(len, marks)), -1
+    while w.fill(longest) and (found := min((i for m in marks if (i := w.data.find(m)) >= 0), default=-1)) < 0 and not w.ended:
+        w.skip(len(w.data) - longest + 1)
+    w.skip(found if found >= 0 else len(w.data))
+
+
 def salvage(stream) -> Iterator[Record | Gap]:
-    """Records of an archive in order, and the gaps between them where checks failed."""
+    """Records of an archive in order, and the gaps between them where checks failed.
+
+    A valid record at the very start tells the format of all. Without it the
+    format stays open: records of either are sought after every gap, so that no
+    damage at the start, and nothing inside a damaged record, can hide the rest."""
     w = Window(stream)
-    w.fill(READ)
-    packed = MAGIC in w.data and (w.data.startswith(MAGIC) or b"WARC/" not in w.data)
-    read, mark = (_member, MAGIC) if packed else (_plain, b"WARC/")
+    read, marks = _either, (MAGIC, MARK)
     gap = None
     while w.fill(1):
         try:
             record, n = read(w)
         except Broken as e:
             gap = gap or Gap(w.at, w.at, str(e))
-            found = -1
             w.skip(1)
-            while w.fill(len(mark)) and (found := w.data.find(mark)) < 0 and not w.ended:
-                w.skip(len(w.data) - len(mark) + 1)
-            w.skip(found if found >= 0 else len(w.data))
+            _next(w, marks)
             continue
+        if not w.at:
+            read, marks = (_member, (MAGIC,)) if w.data.startswith(MAGIC) else (_plain, (MARK,))
         if gap:
             yield Gap(gap.start, w.at, gap.reason)
             gap = None
