@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from canopy.llm import bpe, decontaminate, language, simhash, substrings
 from canopy.llm.util import Scratch, table
@@ -22,11 +23,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language.keep_identified(docs, language.fit_prototypes(docs))
 
 
+def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs, written with a number _row of each row. Decisions are carried by it, as a doc_id may be null or repeated."""
+    return scratch.keep("rows", docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component."""
-    labels = simhash.simhash_components(docs)
-    gone = labels.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each component: that with the smallest doc_id, nulls last, then by a hash of the row."""
+    scratch = Scratch(spark, "near-duplicates")
+    rows = numbered(docs, scratch)
+    labels = simhash.simhash_components(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    labels = scratch.keep("labels", labels)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "_row")
+    best = rows.select("_row", order.alias("order")).join(labels, "_row").groupBy("component_id").agg(F.min("order").alias("order"))
+    gone = labels.select("_row").join(best.select(F.col("order._row").alias("_row")), "_row", "left_anti")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +46,11 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents without any window of a benchmark item."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps the rows without any window of a benchmark item."""
+    rows = numbered(docs, Scratch(spark, "contaminated"))
+    found = decontaminate.contamination(rows.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    gone = found.where("contaminated").select(F.col("doc_id").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
