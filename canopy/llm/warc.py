@@ -3,9 +3,9 @@
 Each record is a gzip member of its own, as is usual. The reader checks every
 record: the member must inflate and its CRC hold, the version line and headers
 must parse, and Content-Length and the block digest must fit. Where a check
-fails, it looks for the next place from which a whole record can be read (the
-next gzip magic that inflates to a version line, or in a plain archive the next
-version line), goes on from there, and reports the bytes passed over as a gap.
+fails, it looks for the next place from which a whole record can be read (a gzip
+magic that inflates to a version line, or a version line itself, whichever comes
+first), goes on from there, and reports the bytes passed over as a gap.
 """
 
 from __future__ import annotations
@@ -27,6 +27,10 @@ from .util import Scratch, open_fs, table
 VERSION = b"WARC/1.1"
 MAGIC = b"\x1f\x8b\x08"
 MARK = b"WARC/"
+VERSION_LINE = re.compile(rb"WARC/\d+\.\d+(?=\r\n|$)")
+EITHER = re.compile(re.escape(MAGIC) + b"|" + MARK)
+LONGEST_HEAD = 1 << 20  # bytes of a record's headers; a damaged archive may claim any
+LONGEST_BLOCK = 1 << 30  # bytes of a record's block, which is held in memory
 LEAST_SHARED = 100  # bytes from which equal payloads are written once
 SMALL_MB = 8  # a table of repeated payloads up to this size is broadcast
 FILE_BYTES = 256 << 20
@@ -70,41 +74,50 @@ def member(data: bytes, level: int = 4) -> bytes:
     return z.compress(data) + z.flush()
 
 
-class Window:
-    """Reads a stream forwards, holding only what has not been passed yet."""
-
-    def __init__(self, stream):
-        self.stream, self.data, self.at, self.ended = stream, b"", 0, False
+class Broken(Exception):
+    pass
 
-    def fill(self, n: int) -> bool:
-        """Whether n bytes are at hand from the current place."""
-        parts, have = [self.data], len(self.data)
-        while have < n and not self.ended:
-            more = self.stream.read(max(READ, n - have))
-            self.ended = not more
-            parts.append(more)
-            have += len(more)
-        self.data = b"".join(parts)
-        return have >= n
 
-    def skip(self, n: int) -> None:
-        self.data = self.data[n:]
-        self.at += n
+class Window:
+    """Reads a stream forwards. What is passed is dropped when more is read, so a record costs no copy of what follows it."""
 
+    def __init__(self, stream):
+        self.stream, self.data, self.here, self.passed, self.ended = stream, bytearray(), 0, 0, False
 
-class Broken(Exception):
-    pass
+    @property
+    def at(self) -> int:
+        """Offset of the current place in the stream."""
+        return self.passed + self.here
 
+    @property
+    def left(self) -> int:
+        return len(self.data) - self.here
 
-def parse_record(data: bytes, offset: int = 0, whole: bool = True) -> tuple[Record, int]:
-    """The record at the start of data, and its length; whole: nothing may follow it. Broken if a check fails."""
-    if not re.match(rb"WARC/\d+\.\d+\r\n", data):
+    def fill(self, n: int) -> bool:
+        """Whether n bytes are at hand from the current place. Reads in pieces, whatever n claims."""
+        if self.left < n and not self.ended:
+            del self.data[: self.here]
+            self.passed, self.here = self.passed + self.here, 0
+            while len(self.data) < n and not self.ended:
+                more = self.stream.read(READ)
+                self.ended = not more
+                self.data += more
+        return self.left >= n
+
+    def starts(self, mark: bytes) -> bool:
+        return self.fill(len(mark)) and self.data.startswith(mark, self.here)
+
+    def take(self, n: int) -> bytes:
+        return bytes(self.data[self.here : self.here + n])
+
+
+def parse_headers(head: bytes) -> tuple[dict[str, str], int]:
+    """Headers and Content-Length of what stands before the empty line. Broken if a check fails."""
+    version, *lines = head.split(b"\r\n")
+    if not VERSION_LINE.fullmatch(version):
         raise Broken("no version line")
-    head, gap, _ = data.partition(b"\r\n\r\n")
-    if not gap:
-        raise Broken("headers without end")
     headers = {}
-    for line in head.split(b"\r\n")[1:]:
+    for line in lines:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Broken("bad header line")
@@ -112,96 +125,110 @@ def parse_record(data: bytes, offset: int = 0, whole: bool = True) -> tuple[Reco
     if "WARC-Record-ID" not in headers or "WARC-Type" not in headers:
         raise Broken("a required header is missing")
     length = headers.get("Content-Length", "")
-    if not (length.isascii() and length.isdigit()):
+    if not (length.isascii() and length.isdigit()) or len(length) > 18:
         raise Broken("bad Content-Length")
-    start = len(head) + 4
-    end = start + int(length)
-    if len(data) < end + 4:
-        raise Broken("block cut short")
-    if data[end : end + 4] != b"\r\n\r\n" or whole and len(data) != end + 4:
+    if int(length) > LONGEST_BLOCK:
+        raise Broken("block longer than the bound")
+    return headers, int(length)
+
+
+def checked(headers: dict[str, str], block: bytes, end: bytes, offset: int) -> Record:
+    if end != b"\r\n\r\n":
         raise Broken("no end of record after the block")
-    block = data[start:end]
     digest = headers.get("WARC-Block-Digest", "")
     if digest.startswith("sha256:") and hashlib.sha256(block).hexdigest() != digest[7:]:
         raise Broken("block digest differs")
-    return Record(headers, block, offset), end + 4
+    return Record(headers, block, offset)
 
 
 def _member(w: Window) -> tuple[Record, int]:
     """The record of the gzip member at the window's place, and the member's length."""
-    if not w.fill(3) or w.data[:3] != MAGIC:
-        raise Broken("no gzip member")
-    z, parts, used, checked = zlib.decompressobj(31), [], 0, False
+    z, out, used, step = zlib.decompressobj(31), bytearray(), 0, 1 << 14
     while not z.eof:
         if not w.fill(used + 1):
             raise Broken("member cut short")
-        piece = w.data[used : used + READ]
-        try:
-            parts.append(z.decompress(piece))
-        except zlib.error as e:
-            raise Broken(f"gzip: {e}") from None
+        piece = bytes(w.data[w.here + used : w.here + used + step])
         used += len(piece)
-        if not checked and sum(map(len, parts)) >= 8:
-            if not b"".join(parts).startswith(b"WARC/"):
+        while piece and not z.eof:
+            try:
+                out += z.decompress(piece, READ)
+            except zlib.error as e:
+                raise Broken(f"gzip: {e}") from None
+            piece = z.unconsumed_tail
+            if not MARK.startswith(out[: len(MARK)]) or len(out) > LONGEST_HEAD + LONGEST_BLOCK:
                 raise Broken("member is no record")
-            checked = True
-    used -= len(z.unused_data)
-    return parse_record(b"".join(parts), w.at)[0], used
+        step = min(2 * step, READ)
+    head = out.find(b"\r\n\r\n", 0, LONGEST_HEAD)
+    if head < 0:
+        raise Broken("headers without end")
+    headers, length = parse_headers(bytes(out[:head]))
+    start, end = head + 4, head + 4 + length
+    if len(out) != end + 4:
+        raise Broken("block cut short" if len(out) < end + 4 else "no end of record after the block")
+    return checked(headers, bytes(out[start:end]), bytes(out[end:]), w.at), used - len(z.unused_data)
 
 
 def _plain(w: Window) -> tuple[Record, int]:
-    n = READ
-    while w.fill(n) and b"\r\n\r\n" not in w.data[:n] and n < 64 * READ:
-        n *= 2
-    head = w.data.partition(b"\r\n\r\n")[0]
-    m = re.search(rb"(?i)\r\nContent-Length:[ \t]*(\d+)", head)
-    if m:
-        w.fill(len(head) + 8 + int(m[1]))
-    return parse_record(w.data, w.at, whole=False)
+    """The record whose version line stands at the window's place, and its length."""
+    w.fill(len(VERSION) + 2)
+    if not VERSION_LINE.match(w.take(2 * len(VERSION))):
+        raise Broken("no version line")
+    while (head := w.data.find(b"\r\n\r\n", w.here, w.here + LONGEST_HEAD)) < 0:
+        if w.left >= LONGEST_HEAD or not w.fill(w.left + 1):
+            raise Broken("headers without end")
+    head -= w.here
+    headers, length = parse_headers(w.take(head))
+    if not w.fill(head + length + 8):
+        raise Broken("block cut short")
+    start, end = w.here + head + 4, w.here + head + 4 + length
+    return checked(headers, bytes(w.data[start:end]), bytes(w.data[end : end + 4]), w.at), head + length + 8
 
 
-def _either(w: Window) -> tuple[Record, int]:
+def _record(w: Window) -> tuple[Record, int]:
     """The record at the window's place, packed or plain as its first bytes say."""
-    w.fill(len(MARK))
-    if w.data.startswith(MAGIC):
+    if w.starts(MAGIC):
         return _member(w)
-    if w.data.startswith(MARK):
+    if w.starts(MARK):
         return _plain(w)
     raise Broken("neither gzip member nor version line")
 
 
-def _next(w: Window, marks: tuple[bytes, ...]) -> None:
-    """Skips to the first of the marks, or to the end."""
-    longest, found = max(map(len, marks)), -1
-    while w.fill(longest) and (found := min((i for m in marks if (i := w.data.find(m)) >= 0), default=-1)) < 0 and not w.ended:
-        w.skip(len(w.data) - longest + 1)
-    w.skip(found if found >= 0 else len(w.data))
+def _next(w: Window) -> None:
+    """Goes to the nearest gzip magic or version line, or to the end."""
+    keep = max(len(MAGIC), len(MARK)) - 1
+    while w.fill(1):
+        found = EITHER.search(w.data, w.here)
+        if found or w.ended:
+            w.here = found.start() if found else len(w.data)
+            return
+        w.here = max(w.here, len(w.data) - keep)
+        w.fill(keep + 1)
 
 
 def salvage(stream) -> Iterator[Record | Gap]:
     """Records of an archive in order, and the gaps between them where checks failed.
 
-    A valid record at the very start tells the format of all. Without it the
-    format stays open: records of either are sought after every gap, so that no
-    damage at the start, and nothing inside a damaged record, can hide the rest."""
+    After a failed check the nearest gzip magic or version line is tried by the
+    reader that it calls for, so packed and plain records may stand in one archive
+    and no damage decides how the rest is read. A record that stands whole inside
+    a damaged one (an archive within an archive) is recovered too. Nothing is
+    raised but what the stream itself raises. Records with headers above
+    LONGEST_HEAD or blocks above LONGEST_BLOCK bytes are taken for damage."""
     w = Window(stream)
-    read, marks = _either, (MAGIC, MARK)
     gap = None
     while w.fill(1):
         try:
-            record, n = read(w)
+            record, n = _record(w)
         except Broken as e:
             gap = gap or Gap(w.at, w.at, str(e))
-            w.skip(1)
-            _next(w, marks)
+            w.here += 1
+            _next(w)
             continue
-        if not w.at:
-            read, marks = (_member, (MAGIC,)) if w.data.startswith(MAGIC) else (_plain, (MARK,))
         if gap:
             yield Gap(gap.start, w.at, gap.reason)
             gap = None
+        w.here += n
         yield record
-        w.skip(n)
     if gap:
         yield Gap(gap.start, w.at, gap.reason)
 
