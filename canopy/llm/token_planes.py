@@ -17,40 +17,48 @@ import os
 import re
 import uuid
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
-from .util import Scratch, chunks, open_fs, table
+from .util import Scratch, open_fs, table, text_chunks
 
 MAGIC = b"IDPLANE1"
 BLOCK = 65_536
 FILE_IDS = 1 << 26  # a file is closed after so many ids
-KNOWN_FRAGMENTS = 300_000
-LONGEST_KNOWN = 48  # characters; longer fragments are not kept
+CHUNK_BYTES = 8 << 20  # of texts that are encoded at a time
+JOINED = 1024  # distinct fragments that are merged in one call
 #: A space before any other than white space always begins a new word of the byte-level pattern.
 BREAK = re.compile(r" (?=\S)")
-ODD = re.compile(r" (?:\s|$)")
-#: Latin letters, digits, marks and line breaks, for which the pattern needs no classes of other scripts.
-LATIN = re.compile("[\\n!-~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u024f]+")
-#: What the byte-level pattern finds in such text.
-WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
-
-
-class FragmentEncoder(dict):
-    """Fragment -> its ids as little-endian uint32 bytes. All but a text's first begin with the space cut off.
-
-    Latin fragments are split into the pattern's words here, and only the merges
-    are left to the library; words repeat even more often than fragments."""
+#: A space before white space (in the widest sense) or the end, for Arrow's expressions.
+ODD = r" (?:[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
+#: The normaliser and pre-tokenizer of the file for which the short way holds.
+PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+#: ASCII without apostrophes (which begin contractions), two-byte Latin letters, and single line breaks.
+_SHORT = r"[!-&(-~\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{1bf}]+"
+SHORT = rf"\A{_SHORT}(?:\n{_SHORT})*\n?\z"
+#: A token, byte by byte, that holds a place where the pattern cuts such text: between letter, digit and others, or at white space.
+_LETTER, _OTHER = "(?:[A-Za-z]|(?:^|[\xc3-\xc6])[\x80-\xbf])", "!-&(-/:-@\\[-`{-~"
+CROSSES = re.compile(f"{_LETTER}[ \n0-9{_OTHER}]|[0-9][ \nA-Za-z\xc3-\xc6{_OTHER}]|[{_OTHER}][ \nA-Za-z\xc3-\xc60-9]|\n[ -~\xc3-\xc6]")
+
+
+class FragmentEncoder:
+    """Ids of texts, which are cut at spaces into fragments; all but a text's first begin with the space cut off.
+
+    Arrow cuts the texts and finds the distinct fragments of a chunk, each of
+    which is encoded once; numpy puts the ids together. Nothing is kept between
+    chunks. Fragments are merged many at a time, without the pattern: where no
+    token of the vocabulary `CROSSES` a place at which the pattern cuts such
+    text, merges cannot either. Where one does, or where a fragment has other
+    characters, the library encodes the fragment alone."""
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,39 +66,76 @@ class FragmentEncoder(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.letters = {b: c for c, b in byte_alphabet().items()}
-        self.known_words: dict[str, bytes] = {}
-
-    def word(self, word: str) -> bytes:
-        found = self.known_words.get(word)
-        if found is None:
-            found = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
-            if len(self.known_words) >= KNOWN_FRAGMENTS:
-                self.known_words.clear()
-            self.known_words[word] = found
-        return found
-
-    def __missing__(self, fragment: str) -> bytes:
-        if LATIN.fullmatch(fragment) and "<|" not in fragment:
-            words = WORD.findall(" " + fragment)
-            out = self.word(words[0]) if len(words) == 1 else b"".join(map(self.word, words))
-        else:
-            out = self.plain(" " + fragment)
-        if len(fragment) <= LONGEST_KNOWN:
-            if len(self) >= KNOWN_FRAGMENTS:
-                self.clear()
-            self[fragment] = out
-        return out
-
-    def plain(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        letters = byte_alphabet()
+        self.letters = {b: c for c, b in letters.items()}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        added = {t["content"] for t in spec["added_tokens"]}
+        vocab = spec["model"]["vocab"]
+        self.begins = np.zeros(max(vocab.values()) + 1, bool)  # with a space
+        self.short = spec["normalizer"] is None and spec["pre_tokenizer"] == PRE_TOKENIZER
+        for token, i in vocab.items():
+            self.begins[i] = token[0] == self.letters[32]
+            if self.short and token not in added and CROSSES.search("".join([chr(letters[c]) for c in token])):
+                self.short = False
+
+    def plain(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def fragments(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, lengths): where in ids those of each fragment are, the space before it included."""
+        short = np.zeros(len(distinct), bool)
+        if self.short:
+            short = pc.and_not(pc.match_substring_regex(distinct, SHORT), pc.match_substring(distinct, "<|")).to_numpy(zero_copy_only=False)
+        pool, lengths, n = [np.zeros(0, np.uint32)], np.zeros(len(distinct), np.int64), 0
+        own = distinct.filter(pa.array(short)).to_pylist()
+        begun = [np.zeros(0, np.int64)]
+        for at in range(0, len(own), JOINED):
+            line = " " + " ".join(own[at : at + JOINED])
+            ids = np.array([t.id for t in self.model.tokenize(line.encode().decode("latin-1").translate(self.letters))], np.uint32)
+            begun.append(np.nonzero(self.begins[ids])[0] + n)
+            pool.append(ids)
+            n += len(ids)
+        bounds = np.concatenate([*begun, [n]])
+        if len(bounds) != len(own) + 1:
+            raise ValueError("a fragment's ids do not begin with the space before it")
+        lengths[short] = np.diff(bounds)
+        alone = [np.array(self.plain(" " + f), np.uint32) for f in distinct.filter(pa.array(~short)).to_pylist()]
+        lengths[~short] = [len(ids) for ids in alone]
+        starts = np.zeros(len(distinct), np.int64)
+        starts[short] = bounds[:-1]
+        starts[~short] = n + np.cumsum(lengths[~short]) - lengths[~short]
+        return np.concatenate([*pool, *alone]), starts, lengths
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): the ids of all texts, and where each text's end."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        parts = pc.split_pattern(texts, " ")
+        if odd.any():
+            cut = pa.array([BREAK.split(t) for t in texts.filter(pa.array(odd)).to_pylist()], pa.list_(pa.string()))
+            parts = pa.concat_arrays([parts.filter(pa.array(~odd)), cut])
+            parts = parts.take(pa.array(np.argsort(np.concatenate([np.nonzero(~odd)[0], np.nonzero(odd)[0]]))))
+        sizes = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)  # at least 1
+        flat = parts.flatten()
+        heads = np.cumsum(sizes) - sizes
+        coded = flat.dictionary_encode()
+        pool, starts, lengths = self.fragments(coded.dictionary)
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        start, length = starts[which], lengths[which]
+        # A text's first fragment has no space before it.
+        first = [np.array(self.plain(h) if h else [], np.uint32) for h in flat.take(pa.array(heads)).to_pylist()]
+        length[heads] = [len(ids) for ids in first]
+        start[heads] = len(pool) + np.cumsum(length[heads]) - length[heads]
+        pool = np.concatenate([pool, *first])
+        ends = np.cumsum(length)
+        source = np.repeat(start - ends + length, length) + np.arange(ends[-1])
+        return pool[source], ends[heads + sizes - 1]
 
     def text(self, text: str | None) -> bytes:
-        """Little-endian uint32 ids of a whole text."""
-        if not text:
-            return b""
-        first, *rest = BREAK.split(text) if ODD.search(text) else text.split(" ")
-        return b"".join([self.plain(first) if first else b"", *map(self.__getitem__, rest)])
+        return self.texts(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
 
 
 _encoders: dict[str, FragmentEncoder] = {}
@@ -209,12 +254,13 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 0, kind: st
             w.close()
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file_no": pa.array([file_no], pa.int32()), "path": [target], "n_docs": pa.array([len(w.docs)], pa.int64()), "n_ids": pa.array([w.n_ids], pa.int64())})
 
-        for rows in chunks(batches, lambda r: len(r[1] or "") // 6, 200_000):
-            for doc_id, text in rows:
+        for doc_ids, texts in text_chunks(batches, CHUNK_BYTES):
+            ids, ends = enc.texts(texts)
+            for doc_id, start, end in zip(doc_ids.to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                 if w is None:
                     target = f"{folder}/{part:06d}-{file_no:03d}-{uuid.uuid4().hex[:8]}.idp"
                     w = PlaneWriter(fs.open_output_stream(open_fs(target)[1]), kind)
-                w.add(doc_id, np.append(np.frombuffer(enc.text(text), "<u4"), np.uint32(end_id)))
+                w.add(doc_id, np.append(ids[start:end], np.uint32(end_id)))
                 if w.n_ids >= FILE_IDS:
                     yield close()
                     w, file_no = None, file_no + 1

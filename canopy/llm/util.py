@@ -10,6 +10,7 @@ import uuid
 import zipfile
 
 import numpy as np
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,3 +149,17 @@ def chunks(batches, size, limit: int = 400_000):
                 held, total = [], 0
     if held:
         yield held
+
+
+def text_chunks(batches, limit: int):
+    """(keys, texts) of Arrow batches of two columns, as arrays that hold about limit bytes of texts at most.
+
+    A text above the limit is a chunk of its own."""
+    for batch in batches:
+        keys, texts = batch.column(0), batch.column(1)
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        chunk = np.cumsum(sizes, dtype=np.int64) // limit
+        cuts = [0, *(np.nonzero(np.diff(chunk))[0] + 1).tolist(), len(sizes)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                yield keys.slice(a, b - a), texts.slice(a, b - a)
