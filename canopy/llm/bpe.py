@@ -10,8 +10,9 @@ their own, and the results concatenated. Two levels of such cuts are used:
    word is cut at every byte pair that no token holds. All fragments of a word
    but the last are encoded by the same merges without the end-of-word suffix.
 
-Fragments repeat far more often than texts, so each worker keeps a bounded table
-of those it has encoded.
+Fragments repeat far more often than texts, so Arrow finds the distinct ones of a
+chunk, and each is encoded once. Of their words a bounded table is kept until the
+task ends.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .util import chunks, table
+from .util import table, text_chunks
 
-KNOWN_FRAGMENTS = 300_000  # the table of a worker is emptied beyond this
-LONGEST_KNOWN = 64  # bytes; longer fragments are not kept
+CHUNK_BYTES = 8 << 20  # of texts that are encoded at a time
+KNOWN_WORDS = 200_000  # some 50 MB a worker; the table is emptied beyond this, and when a task ends
+LONGEST_KNOWN = 64  # characters; longer words are not kept
 #: Latin letters, digits and marks that NFC leaves alone and whose lower case does not depend on neighbours.
 LATIN = re.compile("[!-~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u012f\u0131-\u024f]+")
 #: What the file's pattern finds in such text, in lower case.
@@ -46,11 +49,10 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class ForcedBoundaryBPE(dict):
-    """Fragment (bytes without ASCII white space) -> (ids, tokens), both joined by spaces."""
+class ForcedBoundaryBPE:
+    """Fragment (without ASCII white space) -> (ids, tokens), both joined by spaces."""
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
@@ -65,9 +67,9 @@ class ForcedBoundaryBPE(dict):
         self.vocab = model["vocab"]
         self.tokens = {i: t for t, i in self.vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.last = BPE(self.vocab, merges, end_of_word_suffix=self.suffix) if self.suffix else BPE(self.vocab, merges)
+        self.last = self.whole.model
         self.inner = BPE(self.vocab, merges) if self.suffix else self.last
-        self.added = [t["content"].encode() for t in spec["added_tokens"]]
+        self.added = [t["content"] for t in spec["added_tokens"]]
         self.letters = byte_alphabet()
         #: [x, y]: byte y follows byte x inside some token.
         self.joined = np.zeros((256, 256), bool)
@@ -81,19 +83,16 @@ class ForcedBoundaryBPE(dict):
             raise ValueError(f"{path}: white space occurs inside tokens, and is no forced boundary")
         pairs = {c: i for c, i in self.letters.items()}
         self.cut = {x + y for x in pairs for y in pairs if not self.joined[pairs[x], pairs[y]]}
-        self.pieces: dict[tuple[str, bool], list[int]] = {}
-        self.known_words: dict[str, tuple[bytes, bytes]] = {}
+        self.forget()
         self.signs = {b: c for c, b in self.letters.items()}
         self.latin = spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] == PATTERN
 
+    def forget(self) -> None:
+        """Empties the table of words."""
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+
     def _piece(self, piece: str, last: bool) -> list[int]:
-        ids = self.pieces.get((piece, last))
-        if ids is None:
-            ids = [t.id for t in (self.last if last else self.inner).tokenize(piece)]
-            if len(self.pieces) >= KNOWN_FRAGMENTS:
-                self.pieces.clear()
-            self.pieces[piece, last] = ids
-        return ids
+        return [t.id for t in (self.last if last else self.inner).tokenize(piece)]
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word in the byte alphabet: cut at the forced boundaries, then joined."""
@@ -102,16 +101,17 @@ class ForcedBoundaryBPE(dict):
         for i in [i for i, pair in enumerate(map(add, word, word[1:]), 1) if pair in cut]:
             out += self._piece(word[start:i], False)
             start = i
-        return out + (self._piece(word[start:], True) if start else [t.id for t in self.last.tokenize(word)])
+        return out + self._piece(word[start:], True)
 
     def word(self, word: str) -> tuple[bytes, bytes]:
-        found = self.known_words.get(word)
+        found = self.known.get(word)
         if found is None:
             ids = self.encode_word(word)
             found = " ".join(map(str, ids)).encode(), " ".join(map(self.tokens.__getitem__, ids)).encode()
-            if len(self.known_words) >= KNOWN_FRAGMENTS:
-                self.known_words.clear()
-            self.known_words[word] = found
+            if len(self.known) >= KNOWN_WORDS:
+                self.forget()
+            if len(word) <= LONGEST_KNOWN:
+                self.known[word] = found
         return found
 
     def words(self, text: str) -> list[str]:
@@ -126,24 +126,34 @@ class ForcedBoundaryBPE(dict):
             text = self.whole.normalizer.normalize_str(text)
         return [w for w, _ in self.whole.pre_tokenizer.pre_tokenize_str(text)]
 
-    def __missing__(self, fragment: bytes) -> tuple[bytes, bytes]:
-        text = fragment.decode("utf-8")
-        if b"<|" in fragment and any(a in fragment for a in self.added):
+    def fragment(self, text: str) -> tuple[bytes, bytes]:
+        if "<|" in text and any(a in text for a in self.added):
             ids = self.whole.encode(text, add_special_tokens=False).ids
-            out = b" ".join(b"%d" % i for i in ids), " ".join(self.tokens[i] for i in ids).encode()
-        else:
-            parts = [self.word(w) for w in self.words(text)]
-            out = parts[0] if len(parts) == 1 else (b" ".join([p[0] for p in parts]), b" ".join([p[1] for p in parts]))
-        if len(fragment) <= LONGEST_KNOWN:
-            if len(self) >= KNOWN_FRAGMENTS:
-                self.clear()
-            self[fragment] = out
-        return out
+            return b" ".join(b"%d" % i for i in ids), " ".join(self.tokens[i] for i in ids).encode()
+        parts = [self.word(w) for w in self.words(text)]
+        return parts[0] if len(parts) == 1 else (b" ".join([p[0] for p in parts]), b" ".join([p[1] for p in parts]))
+
+    def texts(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Ids as decimals joined by spaces, and the decoded texts, of whole texts; both binary."""
+        parts = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = parts.flatten().dictionary_encode()
+        made = [self.fragment(f) if f else (b"", b"") for f in coded.dictionary.to_pylist()]
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        kept = np.array([bool(ids) for ids, _ in made], bool)[which]  # a fragment may have no token at all
+        of = pc.list_parent_indices(parts).to_numpy(zero_copy_only=False)[kept]
+        offsets = np.zeros(len(texts) + 1, np.int32)
+        np.cumsum(np.bincount(of, minlength=len(texts)), out=offsets[1:])
+        which = pa.array(which[kept])
+
+        def joined(k: int) -> pa.Array:
+            each = pa.array([m[k] for m in made], pa.binary()).take(which)
+            return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), each), b" ")
+
+        return joined(0), joined(1)
 
     def text(self, text: str | None) -> tuple[bytes, bytes]:
-        """Ids as decimals joined by spaces, and the decoded text, of a whole text."""
-        parts = [self[f] for f in (text or "").encode().split()]
-        return b" ".join([p[0] for p in parts if p[0]]), b" ".join([p[1] for p in parts if p[0]])
+        ids, decoded = self.texts(pa.array([text], pa.string()))
+        return ids[0].as_py(), decoded[0].as_py()
 
 
 _encoders: dict[str, ForcedBoundaryBPE] = {}
@@ -175,18 +185,21 @@ def encode_documents(docs: DataFrame, path: str | None = None, real: bool = Fals
 
     def run(batches):
         bpe = encoder(path)
-        for rows in chunks(batches, lambda r: len(r[1] or "") // 6, 200_000):
-            got = [bpe.text(t) for _, t in rows]
-            cols = {
-                "doc_id": pa.array([r[0] for r in rows], pa.int64()),
-                "n_tokens": pa.array([i.count(b" ") + 1 if i else 0 for i, _ in got], pa.int64()),
-                "ids_sha256": pa.array([hashlib.sha256(i).hexdigest() for i, _ in got]),
-                "decoded_sha256": pa.array([hashlib.sha256(d).hexdigest() for _, d in got]),
-            }
-            if real:
-                cols["ids"] = pa.array([list(map(int, i.split())) for i, _ in got], pa.list_(pa.int32()))
-                cols["decoded"] = pa.array([d.decode() for _, d in got])
-            yield pa.RecordBatch.from_pydict(cols)
+        try:
+            for doc_ids, texts in text_chunks(batches, CHUNK_BYTES):
+                ids, decoded = (column.to_pylist() for column in bpe.texts(texts))
+                cols = {
+                    "doc_id": doc_ids,
+                    "n_tokens": pa.array([i.count(b" ") + 1 if i else 0 for i in ids], pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(i).hexdigest() for i in ids]),
+                    "decoded_sha256": pa.array([hashlib.sha256(d).hexdigest() for d in decoded]),
+                }
+                if real:
+                    cols["ids"] = pa.array([list(map(int, i.split())) for i in ids], pa.list_(pa.int32()))
+                    cols["decoded"] = pa.array([d.decode() for d in decoded])
+                yield pa.RecordBatch.from_pydict(cols)
+        finally:
+            bpe.forget()  # the worker may live on for other tasks
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select("doc_id", "text").mapInArrow(run, schema + (", ids array<int>, decoded string" if real else ""))

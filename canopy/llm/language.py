@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,9 @@ from .util import chunks, table
 DIMENSIONS = 1024
 UNKNOWN = "und"
 GAP = 32
+PIECE = 500_000  # letter codes that are bundled at a time
+SHARES = 1 << 40  # of the hash of a doc_id, for choosing training texts
+GRAMS = 4_096  # trigrams whose vectors are held at a time
 TRAIN_DOCS = 20_000  # bound on the expected number of training texts of a language
 
 _fold = np.zeros(0, np.uint32)  # code point -> letter code: its lower case, GAP for all others
@@ -52,34 +56,60 @@ def letter_vectors(codes: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarra
     return bits.astype(np.int8) * 2 - 1
 
 
-def text_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(vectors, whether the text has a letter): the bundles of whole texts, one row each."""
+def _pieces(texts: list[str]):
+    """(number of the text, letter codes) piece by piece; a piece begins with the last two codes of that before it."""
     fold = fold_table()
-    codes, of = [], []
-    has = np.zeros(len(texts), bool)
     for i, t in enumerate(texts):
-        c = fold[np.frombuffer(f" {t} ".encode("utf-32-le", "surrogatepass"), np.uint32)]
-        keep = np.ones(len(c), bool)
-        keep[1:] = (c[1:] != GAP) | (c[:-1] != GAP)  # one gap for a run of them
-        c = c[keep]
-        has[i] = len(c) > 1
-        codes.append(c)
-        of.append(len(c))
-    flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
+        t, tail = f" {t} ", np.zeros(0, np.uint32)
+        for at in range(0, len(t), PIECE):
+            c = fold[np.frombuffer(t[at : at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)]
+            keep = c != GAP
+            keep[1:] |= c[:-1] != GAP  # one gap for a run of them
+            keep[0] |= not len(tail) or tail[-1] != GAP
+            c = np.concatenate([tail, c[keep]])
+            tail = c[-2:]
+            yield i, c
+
+
+def text_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors, whether the text has a letter): the bundles of whole texts, one row each.
+
+    Texts are taken in pieces, and some PIECE codes are held at a time, however long texts are."""
+    out = np.zeros((len(texts), DIMENSIONS), np.float32)
+    has = np.zeros(len(texts), bool)
+    held: list[np.ndarray] = []
+    of: list[int] = []
+    size = 0
+    for i, c in _pieces(texts):
+        has[i] |= bool((c != GAP).any())
+        if size + len(c) > PIECE and held:
+            _bundle(held, of, out)
+            held, of, size = [], [], 0
+        held.append(c)
+        of.append(i)
+        size += len(c)
+    if held:
+        _bundle(held, of, out)
+    return out, has
+
+
+def _bundle(pieces: list[np.ndarray], of: list[int], out: np.ndarray) -> None:
+    """Adds the trigrams of each piece to the row of out that `of` names."""
+    flat = np.concatenate(pieces)
+    if len(flat) < 3:
+        return
     mark = np.zeros(0x110000, bool)
     mark[flat] = True
     letters = np.nonzero(mark)[0]
     small = (np.cumsum(mark, dtype=np.int32) - 1)[flat]
-    doc = np.repeat(np.arange(len(texts), dtype=np.int64), of)
-    out = np.zeros((len(texts), DIMENSIONS), np.float32)
-    if len(flat) < 3:
-        return out, has
+    piece = np.repeat(np.arange(len(pieces), dtype=np.int32), [len(c) for c in pieces])
     k = len(letters)
     gram = (small[:-2].astype(np.int64) * k + small[1:-1]) * k + small[2:]
-    inside = doc[:-2] == doc[2:]
-    grams, doc = gram[inside], doc[:-2][inside]
+    inside = piece[:-2] == piece[2:]
+    rows, row = np.unique(np.array(of, np.int64), return_inverse=True)
+    grams, doc = gram[inside], row[piece[:-2][inside]]
     if not len(grams):
-        return out, has
+        return
     # Count each text's trigrams, then bundle: counts (texts x trigrams) times trigram vectors.
     if k**3 <= 1 << 22:
         seen = np.zeros(k**3, bool)
@@ -92,13 +122,12 @@ def text_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         kinds, col = np.unique(grams, return_inverse=True)
     vectors = letter_vectors(letters)
     first, second = np.roll(vectors, 2, axis=1), np.roll(vectors, 1, axis=1)
-    for at in range(0, len(kinds), 8_192):  # bounds memory for texts of many scripts
-        own = kinds[at : at + 8_192]
+    for at in range(0, len(kinds), GRAMS):  # bounds memory for texts of many scripts
+        own = kinds[at : at + GRAMS]
         bound = first[own // (k * k)] * second[own // k % k] * vectors[own % k]
-        here = (col >= at) & (col < at + len(own)) if len(kinds) > 8_192 else slice(None)
-        counts = np.bincount(doc[here] * len(own) + (col[here] - at), minlength=len(texts) * len(own)).reshape(len(texts), len(own))
-        out += counts.astype(np.float32) @ bound.astype(np.float32)
-    return out, has
+        here = (col >= at) & (col < at + len(own)) if len(kinds) > GRAMS else slice(None)
+        counts = np.bincount(doc[here] * len(own) + (col[here] - at), minlength=len(rows) * len(own)).reshape(len(rows), len(own))
+        out[rows] += counts.astype(np.float32) @ bound.astype(np.float32)
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -109,6 +138,17 @@ def _groups(rows: list, most: int = 250) -> list[list]:
     return [rows[i : i + most] for i in range(0, len(rows), most)]
 
 
+def _cuts(sizes: np.ndarray, most: int = 250, limit: int = 1_000_000) -> list[tuple[int, int]]:
+    """(from, to) of slices of at most `most` rows and about `limit` bytes; a longer text is a slice of its own."""
+    out, start, total = [], 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and (i - start >= most or total + n > limit):
+            out.append((start, i))
+            start, total = i, 0
+        total += n
+    return [*out, (start, len(sizes))] if len(sizes) else out
+
+
 def fit_prototypes(train: DataFrame, per_language: int = TRAIN_DOCS) -> dict[str, np.ndarray]:
     """lang -> unit prototype, learned from train (doc_id, text, lang) alone.
 
@@ -120,8 +160,8 @@ def fit_prototypes(train: DataFrame, per_language: int = TRAIN_DOCS) -> dict[str
     sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return {}
-    rate = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1_000_000, 1_000_000 * per_language // n))))
-    sample = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate[F.col("lang")])
+    rate = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(SHARES, max(1, SHARES * per_language // n)))))
+    sample = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)) < rate[F.col("lang")])
 
     def bundle(batches):
         sums: dict[str, np.ndarray] = {}
@@ -167,11 +207,12 @@ def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataF
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 250):
-                batch = whole.slice(at, 250)
-                names = batch.schema.names
-                langs, _ = judge([t or "" for t in batch.column(names.index("text")).to_pylist()])
-                i = names.index("lang")
+            names = whole.schema.names
+            t, i = names.index("text"), names.index("lang")
+            sizes = pc.fill_null(pc.binary_length(whole.column(t)), 0).to_numpy(zero_copy_only=False)
+            for a, b in _cuts(sizes):
+                batch = whole.slice(a, b - a)
+                langs, _ = judge([x or "" for x in batch.column(t).to_pylist()])
                 filled = pa.array([own if own is not None else told for own, told in zip(batch.column(i).to_pylist(), langs, strict=True)], batch.schema.field(i).type)
                 batch = pa.RecordBatch.from_arrays([filled if k == i else c for k, c in enumerate(batch.columns)], schema=batch.schema)
                 yield batch.filter(pa.array([told != UNKNOWN for told in langs]))
