@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .util import table, text_chunks
+from .util import table, text_chunks, tidy
 
 CHUNK_BYTES = 8 << 20  # of texts that are encoded at a time
 KNOWN_WORDS = 200_000  # some 50 MB a worker; the table is emptied beyond this, and when a task ends
@@ -202,7 +202,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, real: bool = Fals
             bpe.forget()  # the worker may live on for other tasks
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInArrow(run, schema + (", ids array<int>, decoded string" if real else ""))
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema + (", ids array<int>, decoded string" if real else ""))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,5 +44,5 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
         if state == seen or not state[0]:
             return held.select(F.col("a").alias("node"), F.col("b").alias("root")).union(held.select("b", "b")).distinct()
         seen, i = state, i + 1
-        held = scratch.keep(f"{name}-{i}", _small_star(_large_star(held)))
+        held = scratch.keep(f"{name}-{i}", _small_star(_large_star(held)), free=False)
         scratch.drop(f"{name}-{i - 1}")

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import chunks, table
+from .util import chunks, table, tidy
 
 DIMENSIONS = 1024
 UNKNOWN = "und"
@@ -175,7 +175,7 @@ def fit_prototypes(train: DataFrame, per_language: int = TRAIN_DOCS) -> dict[str
                         sums[lang] += vectors[i]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
-    parts = sample.select("text", "lang").mapInArrow(bundle, "lang string, v array<double>")
+    parts = sample.select("text", "lang").mapInArrow(tidy(bundle), "lang string, v array<double>")
     each = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     out: dict[str, np.ndarray] = {}
     for r in each.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).collect():
@@ -217,7 +217,7 @@ def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataF
                 batch = pa.RecordBatch.from_arrays([filled if k == i else c for k, c in enumerate(batch.columns)], schema=batch.schema)
                 yield batch.filter(pa.array([told != UNKNOWN for told in langs]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: str = "doc_id long") -> DataFrame:
@@ -238,7 +238,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: str = "doc
                 cols["lang_pred"], cols["score"] = pa.array(langs), pa.array(scores)
                 yield pa.RecordBatch.from_pydict(cols)
 
-    return docs.select(*(name for name, _ in kept), "text").mapInArrow(run, f"{keep}, lang_pred string, score double")
+    return docs.select(*(name for name, _ in kept), "text").mapInArrow(tidy(run), f"{keep}, lang_pred string, score double")
 
 
 def held_out() -> F.Column:

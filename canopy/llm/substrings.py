@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import MULTIPLIER, SECOND, Scratch, chunks, mix, rolling, table, word_hashes, words_of
+from .util import MULTIPLIER, SECOND, Scratch, chunks, mix, rolling, table, tidy, word_hashes, words_of
 
 WINDOW = 50
 ANCHOR = 16
@@ -231,7 +231,7 @@ def repeated_words(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
 
     sha is the digest of a row's words, first the smallest doc_id with the same
     words. edited has the documents, one of each sequence, of which words go."""
-    rows = scratch.keep("sequences", docs.select("doc_id", "text").mapInArrow(_sequences, "doc_id long, text_hash long, n_words long, sha string, anchors array<long>"))
+    rows = scratch.keep("sequences", docs.select("doc_id", "text").mapInArrow(tidy(_sequences), "doc_id long, text_hash long, n_words long, sha string, anchors array<long>"))
     known = rows.where("doc_id is not null")
     firsts = scratch.keep("firsts", known.groupBy("sha").agg(F.min("doc_id").alias("first")))
 
@@ -253,20 +253,20 @@ def repeated_words(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
     n_shards = max(1, -(-int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int")
 
-    windows = texts.select("doc_id", "text", "recurring").mapInArrow(_candidate_windows, "w1 long, w2 long, doc_id long, start int")
+    windows = texts.select("doc_id", "text", "recurring").mapInArrow(tidy(_candidate_windows), "w1 long, w2 long, doc_id long, start int")
     windows = windows.withColumn("shard", shard)
     owned = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("m"), F.max("doc_id").alias("last"), F.collect_set("shard").alias("shards")).where("m.doc_id < last")
     owned = scratch.keep("owned", owned.select(F.col("m.doc_id").alias("doc_id"), F.col("m.start").alias("start"), "shards"))
     runs = owned.select("doc_id", "start", F.explode("shards").alias("shard")).groupBy("shard", "doc_id").agg(F.collect_list("start").alias("starts"))
     sources = texts.select(F.col("doc_id").alias("t_id"), "text")
-    passages = runs.join(sources, F.expr("doc_id = t_id")).select("shard", "doc_id", "text", "starts").mapInArrow(_passages, "shard int, doc_id long, text string")
+    passages = runs.join(sources, F.expr("doc_id = t_id")).select("shard", "doc_id", "text", "starts").mapInArrow(tidy(_passages), "shard int, doc_id long, text string")
     passages = scratch.keep("passages", passages)
     scratch.drop("shared", "held", "owned")
 
     dealt = passages.select("shard", F.lit(0).alias("kind"), "doc_id", F.lit("").alias("sha"), "text")
     dealt = dealt.union(texts.select(shard.alias("shard"), F.lit(1), "doc_id", "sha", "text"))
     dealt = dealt.repartition(n_shards, "shard").sortWithinPartitions("shard", "kind")
-    edited = dealt.mapInArrow(_stream, "doc_id long, sha string, n_removed long, kept_sha256 string, kept string")
+    edited = dealt.mapInArrow(tidy(_stream), "doc_id long, sha string, n_removed long, kept_sha256 string, kept string")
     edited = scratch.keep("edited", edited)
     return rows.drop("anchors").join(firsts, "sha", "left"), edited
 

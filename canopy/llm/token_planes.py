@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
-from .util import Scratch, open_fs, table, text_chunks
+from .util import Scratch, open_fs, table, text_chunks, tidy
 
 MAGIC = b"IDPLANE1"
 BLOCK = 65_536
@@ -268,7 +268,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 0, kind: st
             yield close()
 
     ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"))
-    return ordered.mapInArrow(run, "part int, file_no int, path string, n_docs long, n_ids long")
+    return ordered.mapInArrow(tidy(run), "part int, file_no int, path string, n_docs long, n_ids long")
 
 
 def read_ids(manifest: DataFrame, real: bool = False) -> DataFrame:
@@ -296,7 +296,7 @@ def read_ids(manifest: DataFrame, real: bool = False) -> DataFrame:
                     if out:
                         yield _batch(out, real)
 
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if real else ""))
+    return files.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if real else ""))
 
 
 def _batch(out: list, real: bool) -> pa.RecordBatch:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import pathlib
 import posixpath
+import re
 import tempfile
 import uuid
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,14 +47,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The shared folder that the cluster names; one of our own only where none is set and all runs on one machine."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        held = sc._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="canopy-scratch-")
-        spark.sparkContext.setCheckpointDir(root)
+        sc.setCheckpointDir(root)
     # With its scheme, so that Python on the executors opens the file system that Spark means.
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
@@ -70,20 +77,26 @@ class Scratch:
     def sub(self, name: str) -> str:
         return posixpath.join(self.path, name)
 
-    def keep(self, name: str, df: DataFrame) -> DataFrame:
-        """Writes df and reads it back."""
+    def keep(self, name: str, df: DataFrame, free: bool = True) -> DataFrame:
+        """Writes df and reads it back; free: shuffle files that it needed may go now, which takes a collection in the JVM."""
         df.write.parquet(self.sub(name))
         schema = df.schema
         del df
-        free_shuffles(self.spark)
+        if free:
+            free_shuffles(self.spark)
         return self.spark.read.schema(schema).parquet(self.sub(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.sub(name))
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(self.sub(name))
+
+    def close(self) -> None:
+        """Removes the whole folder. To be called by whoever made it, once no result of it is read any more."""
+        self._delete(self.path)
+
+    def _delete(self, path: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -151,6 +164,20 @@ def chunks(batches, size, limit: int = 400_000):
         yield held
 
 
+def tidy(run):
+    """run, which gives freed memory back to the system when its task ends: the worker may live on for other tasks."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def text_chunks(batches, limit: int):
     """(keys, texts) of Arrow batches of two columns, as arrays that hold about limit bytes of texts at most.
 
@@ -163,3 +190,19 @@ def text_chunks(batches, limit: int):
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
                 yield keys.slice(a, b - a), texts.slice(a, b - a)
+
+
+HOT_KEYS = 10_000  # at most so many keys are broadcast by join_labels
+
+
+def join_labels(rows: DataFrame, labels: DataFrame, key: str, floor: int = 256) -> DataFrame:
+    """rows joined with labels (key, n: how many rows have it, and more) on key; no key gathers its rows in one task.
+
+    Keys of more than total / HOT_KEYS rows are fewer than HOT_KEYS, whatever
+    the input, so their labels are broadcast; the others are joined by a shuffle,
+    in which no key has more rows than that. floor: keys of fewer rows are never hot."""
+    total = labels.agg(F.sum("n")).first()[0] or 0
+    least = max(floor, total // HOT_KEYS)
+    hot = F.broadcast(labels.where(F.col("n") > least).drop("n"))
+    cold = labels.where(F.col("n") <= least).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
