@@ -7,7 +7,10 @@ among near points. The grid: the coordinates form 8 groups of four, and points
 at a distance of 4 or less agree entirely in at least four groups. Each choice
 of four groups is one grid, its cells the values there; every distinct
 fingerprint stands in one cell of each of the 70 grids, and two that link share
-a cell of at least one. Inside a cell pairs are checked exactly.
+a cell of at least one. Inside a cell the Manhattan distance of two points is the
+bound: only pairs within it are verified by their fingerprints. Written in unary
+(0, 1, 3 for counts of 0, 1, 2), a point is one word of 64 bits, and the distance
+of two is the number of bits in which their words differ.
 
 A cell never sends out its pairs, only edges that connect what is linked: up to
 9 members are compared directly, more are first gathered around hubs, and only
@@ -25,11 +28,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .util import ASCII_LOWER, Scratch, chunks, table
+from .util import ASCII_LOWER, Scratch, chunks, join_labels, table, tidy
 
 SEED = 42
 RADIUS = 4
-GROUPS, GROUP_BITS = 8, 8
+SEGMENTS = 32  # of two bits
+GROUPS = 8  # of segments; to be raised with the logarithm of the corpus, as cells then hold more
 LAGS = 8  # cells of up to LAGS + 1 members are compared directly
 
 
@@ -63,30 +67,50 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             fps = np.array([fingerprint(t, width) for _, t in rows], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(fps)], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, fp long")
+
+
+ODD_BITS = 0x5555555555555555
 
 
 def counts_word(fp: Column) -> Column:
-    """All 32 coordinates in one long: in each two bits the number of set bits there."""
-    odd = F.lit(0x5555555555555555)
+    """All 32 coordinates in one long: in each two bits the number of set bits there, in unary."""
+    odd = F.lit(ODD_BITS)
     low, high = fp.bitwiseAND(odd), F.shiftrightunsigned(fp, 1).bitwiseAND(odd)
-    return F.shiftleft(low.bitwiseAND(high), 1).bitwiseOR(low.bitwiseXOR(high))
+    return F.shiftleft(low.bitwiseAND(high), 1).bitwiseOR(low.bitwiseOR(high))
 
 
-def grid_cells(fps: DataFrame) -> DataFrame:
-    """(cell, fp): 70 rows for each of the distinct fingerprints."""
-    word = counts_word(F.col("fp"))
+def counts_words(fp: np.ndarray) -> np.ndarray:
+    """counts_word of an array."""
+    low, high = fp & np.uint64(ODD_BITS), fp >> np.uint64(1) & np.uint64(ODD_BITS)
+    return (low & high) << np.uint64(1) | low | high
+
+
+def grid_masks(groups: int = GROUPS, radius: int = RADIUS) -> list[int]:
+    """For each grid the bits that its cells agree in, as signed longs: all choices of groups - radius groups."""
+    if not radius < groups <= SEGMENTS:
+        raise ValueError("there must be more groups than the radius, and no more than segments")
+    edges = [SEGMENTS * g // groups for g in range(groups + 1)]
     masks = []
-    for kept in combinations(range(GROUPS), GROUPS - RADIUS):
-        mask = sum(((1 << GROUP_BITS) - 1) << (g * GROUP_BITS) for g in kept)
-        masks.append(mask - (1 << 64) if mask >= 1 << 63 else mask)
-    cells = F.array(*(F.xxhash64(F.lit(i), F.col("word").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)))
+    for kept in combinations(range(groups), groups - radius):
+        mask = sum(3 << (2 * s) for g in kept for s in range(edges[g], edges[g + 1]))
+        masks.append(mask - (1 << 64) if mask >> 63 else mask)
+    return masks
+
+
+def grid_cells(fps: DataFrame, groups: int = GROUPS) -> DataFrame:
+    """(cell, fp): a row for each grid (70 with 8 groups) of each distinct fingerprint."""
+    word = counts_word(F.col("fp"))
+    cells = F.array(*(F.xxhash64(F.lit(i), F.col("word").bitwiseAND(F.lit(m))) for i, m in enumerate(grid_masks(groups))))
     return fps.select("fp", word.alias("word")).select(F.explode(cells).alias("cell"), "fp")
 
 
 def _near(x: np.ndarray, y) -> np.ndarray:
-    """The exact check. In a cell it costs no more than the Manhattan bound, which the grid has used already."""
-    return np.bitwise_count(x ^ y) <= RADIUS
+    """Whether fingerprints link: first the Manhattan bound, then, of what is within it, the fingerprints themselves."""
+    out = np.bitwise_count(counts_words(x) ^ counts_words(y)) <= RADIUS
+    found = np.nonzero(out)[0]
+    out[found] = np.bitwise_count(x[found] ^ (y[found] if np.ndim(y) else y)) <= RADIUS
+    return out
 
 
 def cell_edges(x: np.ndarray) -> list[tuple[int, int]]:
@@ -155,8 +179,11 @@ def _cells_done(cell: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
     sizes = np.diff(np.r_[starts, len(cell)])
     small = np.repeat(sizes <= LAGS + 1, sizes)
     found_a, found_b = [], []
+    word = counts_words(fp)
     for lag in range(1, min(LAGS, int(sizes.max()) - 1) + 1):
-        hit = np.nonzero((cell[lag:] == cell[:-lag]) & small[lag:] & _near(fp[lag:], fp[:-lag]))[0]
+        within = (cell[lag:] == cell[:-lag]) & small[lag:] & (np.bitwise_count(word[lag:] ^ word[:-lag]) <= RADIUS)
+        hit = np.nonzero(within)[0]
+        hit = hit[np.bitwise_count(fp[hit] ^ fp[hit + lag]) <= RADIUS]
         found_a.append(fp[hit])
         found_b.append(fp[hit + lag])
     for s, n in zip(starts[sizes > LAGS + 1].tolist(), sizes[sizes > LAGS + 1].tolist(), strict=True):
@@ -170,31 +197,34 @@ def _cells_done(cell: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
-def link_edges(fps: DataFrame) -> DataFrame:
+def link_edges(fps: DataFrame, groups: int = GROUPS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints whose components are those of all links."""
-    cells = grid_cells(fps).repartition("cell").sortWithinPartitions("cell", "fp")
-    return cells.mapInArrow(_edges, "a long, b long").distinct()
+    cells = grid_cells(fps, groups).repartition("cell").sortWithinPartitions("cell", "fp")
+    return cells.mapInArrow(tidy(_edges), "a long, b long").distinct()
 
 
-def simhash_components(docs: DataFrame, width: int = 4) -> DataFrame:
+def simhash_components(docs: DataFrame, width: int = 4, groups: int = GROUPS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of docs.
 
     Fingerprints link at RADIUS differing bits or fewer; component_id is the
     smallest doc_id reachable over links, itself included. Null and wordless
     texts have fingerprint zero and link like others. Repeated rows stay. A null
     doc_id is kept and counts as larger than any other: only a component without
-    another has component_id null. An empty table gives no rows.
+    another has component_id null. An empty table gives no rows. Ties do not
+    occur: the result does not depend on which edges connect a component.
+    width: words of a shingle; groups: see GROUPS.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.keep("fps", fingerprints(docs, width))
-    firsts = scratch.keep("firsts", fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    edges = scratch.keep("edges", link_edges(firsts.select("fp")))
+    firsts = scratch.keep("firsts", fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    edges = scratch.keep("edges", link_edges(firsts.select("fp"), groups))
     roots = components(edges, scratch)
     linked = roots.join(firsts, roots["node"] == firsts["fp"]).select("node", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     linked = linked.join(least, "root").select(F.col("node").alias("fp"), "least")
-    labels = firsts.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return fps.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labels = scratch.keep("labels", firsts.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"), "n"))
+    scratch.drop("firsts", "edges")
+    return join_labels(fps, labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
