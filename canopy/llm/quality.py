@@ -1,33 +1,39 @@
 """Risk-controlled quality rules.
 
-Each document gets four measures in thousandths. For each stratum (language) and
-measure a fixed row of cutoffs, from lenient to strict, is tested on the labelled
-documents: at each cutoff the upper Clopper-Pearson bound on the share of good
-documents that it would reject must not exceed the risk. Testing stops at the
-first cutoff that fails (fixed-sequence testing, so the row of cutoffs needs no
-further correction), and the confidence is divided over all strata and measures
+Each document gets four measures in thousandths. One fixed path of rules, from
+lenient to strict, has a cutoff for every measure at each step; a document is
+rejected that is above any of them. For each stratum (language) the path is
+tested on the labelled documents: at each step the upper Clopper-Pearson bound on
+the share of good documents that the whole rule would reject must not exceed the
+risk. Testing stops at the first step that fails (fixed-sequence testing, so the
+steps need no further correction), and the confidence is divided over the strata
 (Bonferroni). So, with probability 1 - delta over the labelled sample, no
-stratum's chosen rules together reject more than `risk` of its good documents.
-Of the cutoffs that pass, the strictest is used at which the lower bound on the
-share of bad documents rejected is above the upper bound for good ones. A stratum
-with too few labels for such bounds gets no cutoff, and rejects nothing.
+stratum's rule rejects more than `risk` of its good documents. As all measures
+are tested at once, the risk is not divided among them, and some 220 good labels
+in a stratum are enough (risk 0.02, delta 0.05, four strata, none rejected).
+Of the last step that passes, only those cutoffs are used at which the lower bound
+on the share of bad documents rejected is above the upper bound for good ones;
+leaving others out can only reject less. A stratum with too few labels for such
+bounds gets no cutoff, and rejects nothing.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import Scratch, chunks, mix, rolling, table, word_hashes, words_of
+from .util import Scratch, chunks, mix, rolling, table, tidy, word_hashes, words_of
 
 SYMBOLS = "#*$%&|<>"
 NONE = ""  # the stratum of rows without a language
 
-#: measure -> cutoffs, lenient first; a document is rejected above its cutoff.
+#: measure -> its cutoff at each step of the path, lenient first; a document is rejected above any. A shorter row ends with its last.
 MEASURES = {
     "symbols_pm": (800, 600, 500, 400, 300, 250, 200, 150, 120, 100, 80, 60, 50, 40, 30, 20),
     "repeats_pm": (290, 280, 270, 260, 250, 240, 220, 200, 180, 160, 140, 120, 100, 80, 60, 40),
@@ -132,7 +138,7 @@ def measures(docs: DataFrame) -> DataFrame:
     with a word that equal an earlier line) and n_repeat_words (words in 8-word
     windows found twice or more in the text, the first included)."""
     schema = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-    counted = docs.select("doc_id", "text", F.coalesce("lang", F.lit(NONE)).alias("lang")).mapInArrow(_measure, schema)
+    counted = docs.select("doc_id", "text", F.coalesce("lang", F.lit(NONE)).alias("lang")).mapInArrow(tidy(_measure), schema)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return counted.withColumn("base_failed", failed)
 
@@ -144,29 +150,46 @@ def in_thousandths() -> dict:
     return {"symbols_pm": pm("n_symbols", "word_chars"), "repeats_pm": pm("n_repeat_words", "n_words"), "dup_lines_pm": pm("n_dup_lines", "n_words"), "word_chars_pm": pm("word_chars", "n_words")}
 
 
+STEPS = max(map(len, MEASURES.values()))
+
+
+def cutoffs_at(step: int) -> dict[str, int]:
+    return {k: cuts[min(step, len(cuts) - 1)] for k, cuts in MEASURES.items()}
+
+
 def fit_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> dict[str, dict[str, int]]:
     """stratum -> measure -> cutoff, from all labelled documents that the base rules keep.
 
-    A document is good if its quality is 1 (the least of repeated labels). What
-    reaches the driver is, for each stratum and class, a count for each cutoff."""
+    A document is good if its quality is 1 (the least of repeated labels). It
+    counts once in a stratum, however many rows have its doc_id, each measure at
+    its greatest. What reaches the driver is, for each class of each stratum that
+    has enough good labels for any bound, a count for each step."""
     told = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     held = measured.where(~F.col("base_failed")).join(told, "doc_id")
-    held = held.select("stratum", (F.col("quality") == 1).alias("good"), *(c.alias(k) for k, c in in_thousandths().items()))
-    above = [F.count_if(F.col(k) > cut).alias(f"{k}_{cut}") for k, cuts in MEASURES.items() for cut in cuts]
-    counts = {(r["stratum"], r["good"]): r for r in held.groupBy("stratum", "good").agg(F.count("*").alias("n"), *above).collect()}
-    strata = sorted({s for s, _ in counts})
-    each = delta / max(1, len(strata) * len(MEASURES))
+    held = held.select("doc_id", "stratum", (F.col("quality") == 1).alias("good"), *(c.alias(k) for k, c in in_thousandths().items()))
+    held = held.groupBy("stratum", "doc_id", "good").agg(*(F.max(k).alias(k) for k in MEASURES))
+    joint = [F.count_if(reduce(or_, (F.col(k) > cut for k, cut in cutoffs_at(i).items()))).alias(f"all_{i}") for i in range(STEPS)]
+    single = [F.count_if(F.col(k) > cutoffs_at(i)[k]).alias(f"{k}_{i}") for k in MEASURES for i in range(STEPS)]
+    counts = held.groupBy("stratum").pivot("good", [True, False]).agg(F.count(F.lit(1)).alias("n"), *joint, *single)
+    n_strata = held.select("stratum").distinct().count()
+    if not n_strata:
+        return {}
+    each = delta / n_strata
+    enough = math.log(each) / math.log1p(-risk)  # good labels, if none is rejected
     chosen: dict[str, dict[str, int]] = {}
-    for stratum in strata:
-        good, bad = counts.get((stratum, True)), counts.get((stratum, False))
-        for k, cuts in MEASURES.items():
-            for cut in cuts if good and bad else ():
-                most = upper_bound(good[f"{k}_{cut}"], good["n"], each)
-                if most > risk / len(MEASURES):
-                    break
-                # It must pay: of the bad documents it surely rejects a larger share.
-                if 1 - upper_bound(bad["n"] - bad[f"{k}_{cut}"], bad["n"], each) > most:
-                    chosen.setdefault(stratum, {})[k] = cut
+    for r in counts.where(F.col("true_n") >= enough).where("false_n > 0").orderBy("stratum").collect():
+        n_good, n_bad = r["true_n"], r["false_n"]
+        last = None
+        for i in range(STEPS):
+            if upper_bound(r[f"true_all_{i}"], n_good, each) > risk:
+                break
+            last = i
+        if last is None:
+            continue
+        for k, cut in cutoffs_at(last).items():
+            # It must pay: of the bad documents it surely rejects a larger share.
+            if 1 - upper_bound(n_bad - r[f"false_{k}_{last}"], n_bad, each) > upper_bound(r[f"true_{k}_{last}"], n_good, each):
+                chosen.setdefault(r["stratum"], {})[k] = cut
     return chosen
 
 
