@@ -23,16 +23,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language.keep_identified(docs, language.fit_prototypes(docs))
 
 
+#: Words of a shingle in the near-duplicate stage. The links are op4's: RADIUS of 64 bits.
+WIDTH = 5
+
+
 def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs, written with a number _row of each row. Decisions are carried by it, as a doc_id may be null or repeated."""
     return scratch.keep("rows", docs.withColumn("_row", F.monotonically_increasing_id()))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each component: that with the smallest doc_id, nulls last, then by a hash of the row."""
+    """Keeps one row of each component: that with the smallest doc_id, nulls last, then by a hash of the row.
+
+    Shingles have WIDTH words. Null and wordless texts are near duplicates of each other, repeated rows of themselves."""
     scratch = Scratch(spark, "near-duplicates")
     rows = numbered(docs, scratch)
-    labels = simhash.simhash_components(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    labels = simhash.simhash_components(rows.select(F.col("_row").alias("doc_id"), "text"), WIDTH).select(F.col("doc_id").alias("_row"), "component_id")
     labels = scratch.keep("labels", labels)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "_row")
     best = rows.select("_row", order.alias("order")).join(labels, "_row").groupBy("component_id").agg(F.min("order").alias("order"))
@@ -41,12 +47,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated words out of the texts; every document stays, even if none of its words do."""
+    """Takes repeated words out of the texts; every document stays, even if none of its words do.
+
+    A null text stays null. A row with a null doc_id loses nothing and takes nothing; rows of one doc_id take nothing from each other."""
     return substrings.remove_repeats(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the rows without any window of a benchmark item."""
+    """Keeps the rows without any window of a benchmark item; a null text has none. Each row is judged by its own text."""
     rows = numbered(docs, Scratch(spark, "contaminated"))
     found = decontaminate.contamination(rows.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     gone = found.where("contaminated").select(F.col("doc_id").alias("_row"))
@@ -54,7 +62,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded text of what is left."""
+    """doc_id, n_tokens and the digests of ids and decoded text of what is left; a null text has no tokens, repeated rows stay."""
     return bpe.encode_documents(docs)
 
 
