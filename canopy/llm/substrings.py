@@ -13,11 +13,19 @@ document with a smaller id.
 3. Automata: documents are dealt into shards, and a shard gets the passages that
    its own documents hold. Each shard compiles the 25-word phrases of its passages
    into an Aho-Corasick automaton over word numbers and streams its documents
-   through it. Windows around each place found are looked up among those of the
-   passages and compared word by word; what a smaller document has is removed.
+   through it. The automaton gives the places; windows around each are looked up
+   among those of the passages and compared word by word; what a smaller document
+   has is removed.
+
+Every document is streamed by step 1, and by step 3 all that can hold an occurrence:
+a window that two sequences share has in both the same anchor (its phrase of least
+hash depends on its words alone, the last of equal ones), so that anchor is counted
+for two sequences. A document without such an anchor shares no window, holds no
+passage, and would cross any automaton without a hit that counts.
 
 What a shard holds is bounded by its own documents, also where one passage is in a
-third of all documents: then each shard has that passage once.
+third of all documents: then each shard has that passage once. Passages are cut
+once for each set of up to SHARDS_IN_SET shards, and only they are replicated.
 """
 
 from __future__ import annotations
@@ -26,8 +34,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .util import MULTIPLIER, SECOND, Scratch, chunks, mix, rolling, table, tidy, word_hashes, words_of
@@ -35,7 +44,10 @@ from .util import MULTIPLIER, SECOND, Scratch, chunks, mix, rolling, table, tidy
 WINDOW = 50
 ANCHOR = 16
 PHRASE = 25  # any 50 words hold a whole phrase of a passage cut into such
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 8 << 20  # of texts that a shard's automaton is made for
+MOST_TASKS = 100_000  # beyond so many shards a task takes several, one after the other
+SHARDS_IN_SET = 1024  # shards named in one row
+PIECE = 256  # windows of a passage at most
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -110,16 +122,39 @@ def _candidate_windows(batches):
 
 
 def _passages(batches):
-    """Cuts the runs of consecutive windows out of the texts: (shard, doc_id, text) for each run."""
-    for rows in chunks(batches, lambda r: len(r[2]) // 6, 100_000):
-        out: tuple[list, list, list] = ([], [], [])
-        for shard, doc_id, text, starts in rows:
-            words, starts = words_of(text), np.unique(np.array(starts, np.int64))
-            for run in np.split(starts, np.nonzero(np.diff(starts) > 1)[0] + 1):
-                out[0].append(shard)
-                out[1].append(doc_id)
-                out[2].append(b" ".join(words[run[0] : run[-1] + WINDOW]).decode("utf-8", "surrogatepass"))
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["shard", "doc_id", "text"])
+    """Cuts runs of consecutive windows, PIECE at most, out of the texts: (doc_id, part, text, shards) for each.
+
+    Rows: doc_id, part, text, and places, a list of (start, shards that hold this window)."""
+    for batch in batches:
+        places = batch.column(3)
+        each = places.flatten()
+        begins = places.offsets.to_numpy() - places.offsets[0].as_py()
+        starts, lists = each.field("start").to_numpy(), each.field("shards")
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+        shards = lists.flatten().to_numpy()
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        size = 0
+        for r, (doc_id, part) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            words = words_of(batch.column(2)[r].as_py())
+            order = begins[r] + np.argsort(starts[begins[r] : begins[r + 1]], kind="stable")
+            own = starts[order]
+            new_run = np.r_[True, np.diff(own) > 1]
+            since = np.arange(len(own)) - np.maximum.accumulate(np.where(new_run, np.arange(len(own)), 0))
+            for group in np.split(np.arange(len(own)), np.nonzero(new_run | (since % PIECE == 0))[0][1:]):
+                found = np.unique(np.concatenate([shards[ends[i - 1] if i else 0 : ends[i]] for i in order[group].tolist()]))
+                text = b" ".join(words[own[group[0]] : own[group[-1]] + WINDOW]).decode("utf-8", "surrogatepass")
+                for column, value in zip(out, (doc_id, part, text, found.astype(np.int32)), strict=True):
+                    column.append(value)
+                size += len(text) + 4 * len(found)
+            if size > 4 << 20:
+                yield _cut(out)
+                out, size = ([], [], [], []), 0
+        yield _cut(out)
+
+
+def _cut(out: tuple[list, list, list, list]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(out, kinds, strict=True)], names=["doc_id", "part", "text", "shards"])
 
 
 class PhraseAutomaton:
@@ -226,6 +261,37 @@ def _stream(batches):
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()))], names=["doc_id", "sha", "n_removed", "kept_sha256", "kept"])
 
 
+def shard_of(n_shards: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int")
+
+
+def passages_of(texts: DataFrame, n_shards: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, part, text, shards): the confirmed passages, and the shards whose documents hold a window of them.
+
+    A window's shards stand in sets of SHARDS_IN_SET (part), so that no row grows
+    with the corpus where a window is everywhere."""
+    windows = texts.select("doc_id", "text", "recurring").mapInArrow(tidy(_candidate_windows), "w1 long, w2 long, doc_id long, start int")
+    windows = windows.withColumn("shard", shard_of(n_shards))
+    first = (F.min(F.struct("doc_id", "start")).alias("m"), F.max("doc_id").alias("last"))
+    if n_shards <= SHARDS_IN_SET:
+        owned = windows.groupBy("w1", "w2").agg(*first, F.collect_set("shard").alias("shards")).where("m.doc_id < last").withColumn("part", F.lit(0))
+    else:
+        part = F.floor(F.col("shard") / SHARDS_IN_SET).cast("int").alias("part")
+        parts = scratch.keep("parts", windows.groupBy("w1", "w2", part).agg(*first, F.collect_set("shard").alias("shards")))
+        recurring = parts.groupBy("w1", "w2").agg(F.min("m").alias("m"), F.max("last").alias("last")).where("m.doc_id < last")
+        owned = parts.select("w1", "w2", "part", "shards").join(recurring, ["w1", "w2"])
+    owned = scratch.keep("owned", owned.select(F.col("m.doc_id").alias("doc_id"), F.col("m.start").alias("start"), "part", "shards"))
+    places = owned.groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "shards")).alias("places"))
+    sources = texts.select(F.col("doc_id").alias("t_id"), "text")
+    cut = places.join(sources, F.expr("doc_id = t_id")).select("doc_id", "part", "text", "places")
+    cut = cut.mapInArrow(tidy(_passages), "doc_id long, part int, text string, shards array<int>")
+    if n_shards > SHARDS_IN_SET:
+        cut = cut.repartition("doc_id", "part", F.xxhash64("text"))  # so that no one task replicates a passage to all shards
+    passages = scratch.keep("passages", cut)
+    scratch.drop("owned", "parts")
+    return passages
+
+
 def repeated_words(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(every row: doc_id, text_hash, n_words, sha, first; edited: doc_id, sha, n_removed, kept_sha256, kept).
 
@@ -251,27 +317,19 @@ def repeated_words(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
     texts = texts.join(named, F.expr("doc_id = h_id and text_hash = h_hash")).select("doc_id", "sha", "text", "recurring")
     texts = scratch.keep("texts", texts)
     n_shards = max(1, -(-int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int")
-
-    windows = texts.select("doc_id", "text", "recurring").mapInArrow(tidy(_candidate_windows), "w1 long, w2 long, doc_id long, start int")
-    windows = windows.withColumn("shard", shard)
-    owned = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("m"), F.max("doc_id").alias("last"), F.collect_set("shard").alias("shards")).where("m.doc_id < last")
-    owned = scratch.keep("owned", owned.select(F.col("m.doc_id").alias("doc_id"), F.col("m.start").alias("start"), "shards"))
-    runs = owned.select("doc_id", "start", F.explode("shards").alias("shard")).groupBy("shard", "doc_id").agg(F.collect_list("start").alias("starts"))
-    sources = texts.select(F.col("doc_id").alias("t_id"), "text")
-    passages = runs.join(sources, F.expr("doc_id = t_id")).select("shard", "doc_id", "text", "starts").mapInArrow(tidy(_passages), "shard int, doc_id long, text string")
-    passages = scratch.keep("passages", passages)
-    scratch.drop("shared", "held", "owned")
+    passages = passages_of(texts, n_shards, scratch)
+    scratch.drop("shared", "held")
 
-    dealt = passages.select("shard", F.lit(0).alias("kind"), "doc_id", F.lit("").alias("sha"), "text")
-    dealt = dealt.union(texts.select(shard.alias("shard"), F.lit(1), "doc_id", "sha", "text"))
-    dealt = dealt.repartition(n_shards, "shard").sortWithinPartitions("shard", "kind")
+    dealt = passages.select(F.explode("shards").alias("shard"), F.lit(0).alias("kind"), "doc_id", F.lit("").alias("sha"), "text")
+    dealt = dealt.union(texts.select(shard_of(n_shards).alias("shard"), F.lit(1), "doc_id", "sha", "text"))
+    tasks = min(n_shards, MOST_TASKS)
+    dealt = dealt.repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard", "kind")
     edited = dealt.mapInArrow(tidy(_stream), "doc_id long, sha string, n_removed long, kept_sha256 string, kept string")
     edited = scratch.keep("edited", edited)
     return rows.drop("anchors").join(firsts, "sha", "left"), edited
 
 
-def is_copy() -> F.Column:
+def is_copy() -> Column:
     """All of a row's words go: another document with the same words has a smaller id."""
     return F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)) & (F.col("n_words") >= WINDOW)
 
