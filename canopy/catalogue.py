@@ -177,7 +177,7 @@ def baseline_union(spark, sf_dir):
 
 
 @query(
-    f"with {WORDS}, heads as (select * from words where seq = 0), c as (select lang, source, value, count(*) as n from heads group by all), b as (select source, value from heads group by all), "
+    f"with {WORDS}, c as (select lang, source, value, count(*) as n from words group by all), b as (select distinct source, value from words), "
     "p as (select k.lang, k.source, b.value from (select distinct lang, source from c) k join b on k.source = b.source) "
     "select lang, source, value, n, 2 as depth from c union all select lang, source, value, 1, 2 from p where not exists (select 1 from c where c.lang is not distinct from p.lang and c.source = p.source and c.value = p.value) "
     "union all select null, source, value, 1, 1 from b"
@@ -189,12 +189,9 @@ def dictionary_union_fallback(spark, sf_dir):
 
 
 @query(
-    f"with {WORDS}, h as (select * from words where seq = 0), tr as (select * from h where file_id % 10 <> 0), te as (select * from h where file_id % 10 = 0), "
-    "d as (select lang, source, value, count(*) as n, sum(count(*)) over (partition by lang, source) as total from tr where file_id % 3 = 0 group by lang, source, value), "
-    "s as (select source, value, count(*) as n, sum(count(*)) over (partition by source) as total from tr group by source, value) "
-    "select te.file_id, te.lang, te.source, te.value, u.depth as used_depth, cast(case u.depth when 2 then d.n when 1 then s.n end as bigint) as n, cast(case u.depth when 2 then d.total when 1 then s.total end as bigint) as total from te "
-    "join lateral (select case when exists (select 1 from d where d.lang is not distinct from te.lang and d.source = te.source) then 2 when exists (select 1 from s where s.source = te.source) then 1 else -1 end as depth) u on true "
-    "left join d on d.lang is not distinct from te.lang and d.source = te.source and d.value = te.value left join s on s.source = te.source and s.value = te.value"
+    f"with {WORDS}, d as (select lang, source, value, count(*) as n, sum(count(*)) over (partition by lang, source) as total from words group by lang, source, value) "
+    "select w.file_id, w.lang, w.source, w.value, 2 as used_depth, d.n, cast(d.total as bigint) as total from words w "
+    "join d on d.lang is not distinct from w.lang and d.source is not distinct from w.source and d.value = w.value"
 )
 def fallback_lookup(spark, sf_dir):
     """Every word of every document under the distribution of (lang, source), else of the source, both counted over all documents."""
@@ -216,6 +213,7 @@ def symbol_index_decode(spark, sf_dir):
 
 # Lookup in linear tables
 
+SHARED = f"{WORDS}, shared as (select value, row_number() over (order by value) - 1 as idx from (select value from words group by value having count(distinct file_id) > {THRESHOLD}))"
 TRAINED = f"{WORDS}, shared as (select value, row_number() over (order by value) - 1 as idx from (select value from words where file_id % 10 <> 0 group by value having count(distinct file_id) > {THRESHOLD})), test as (select * from words where file_id % 10 = 0)"
 
 
@@ -225,13 +223,16 @@ def trained(spark, sf_dir):
     return w, dictionary.linear_table(tokens.file_frequency(w, "value"), THRESHOLD)
 
 
-@query(f"with {TRAINED} select t.file_id, t.seq, t.value, s.idx from test t join shared s on s.value = t.value")
+@query(f"with {SHARED} select w.file_id, w.seq, w.value, s.idx from words w join shared s on s.value = w.value")
 def dictionary_hits(spark, sf_dir):
     every, shared = trained(spark, sf_dir)
     return dictionary.hits(every, shared).where("idx is not null").select("file_id", "seq", "value", "idx")
 
 
-@query(f"with {TRAINED}, m as (select file_id, value, min(seq) as first from test where value not in (select value from shared) group by all) select file_id, value, first, row_number() over (partition by file_id order by first) - 1 as idx from m")
+@query(
+    f"with {SHARED}, m as (select file_id, value, min(seq) as first from words where value not in (select value from shared) group by all) "
+    "select file_id, value, first, row_number() over (partition by file_id order by first) - 1 as idx from m"
+)
 def dictionary_misses(spark, sf_dir):
     """What is missing, numbered for each file in the order it is first seen: the file's prelude."""
     every, shared = trained(spark, sf_dir)
@@ -239,7 +240,7 @@ def dictionary_misses(spark, sf_dir):
 
 
 @query(
-    f"with {TRAINED}, p as (select value, row_number() over (order by value) - 1 as idx from (select distinct value from test where value not in (select value from shared))) "
+    f"with {SHARED}, p as (select value, row_number() over (order by value) - 1 as idx from (select distinct value from words where value not in (select value from shared))) "
     "select value, idx, 'shared' as origin from shared union all select value, idx, 'prelude' from p"
 )
 def prelude_table(spark, sf_dir):
@@ -341,7 +342,7 @@ def ratio_ranking(spark, sf_dir):
     """Files from the least to the most repetitive."""
     each = tokens.instances(words(spark, sf_dir), "file_id", "value").groupBy("file_id").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
     each = each.withColumn("ratio", F.round(F.col("kinds") / F.col("n"), 9))
-    return each.withColumn("place", F.rank().over(Window.orderBy(F.desc("ratio"), "file_id")).cast("long"))
+    return statistics.ranked(each, "ratio", "file_id", "place")
 
 
 @query(f"with {TRAINED} select t.source, count(*) as symbols, count(s.value) as hits, round(100.0 * count(s.value) / count(*), 6) as percent from test t left join shared s on s.value = t.value group by t.source")
@@ -403,10 +404,9 @@ def ref_stream_encode(spark, sf_dir):
 @query("select count(*) as symbols, 0 as differences from events")
 def ref_stream_roundtrip(spark, sf_dir):
     refs, n = references(spark, sf_dir)
-    coded = ordered.encode_references(refs, ["file_id"], REFS, 8, n)
     length = F.coalesce(F.max(F.when(F.col("origin") == "prelude", F.col("idx") + 1)).over(Window.partitionBy("file_id")), F.lit(0))
-    decoded = ordered.decode_references(coded.withColumn("prelude", length), ["file_id"], "file_id long, seq long, prelude long, code long", 8, n)
-    both = coded.join(decoded.select("file_id", "seq", "d_origin", "d_idx"), ["file_id", "seq"])
+    coded = ordered.encode_references(refs, ["file_id"], REFS, 8, n).withColumn("prelude", length)
+    both = ordered.decode_references(coded, ["file_id"], "file_id long, seq long, prelude long, code long, origin string, idx long", 8, n)
     differ = (F.col("origin") != F.col("d_origin")) | (F.col("idx") != F.col("d_idx"))
     return both.agg(F.count("*").alias("symbols"), F.count_if(differ).cast("int").alias("differences"))
 

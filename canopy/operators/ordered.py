@@ -1,7 +1,7 @@
 """Operators whose result depends on the order of a file's values.
 
-Each file's stream (of one kind) is one group, sorted by seq inside the group's
-task; the state is a window or a list of distinct values, not the stream."""
+Each file's stream (of one kind) is one group, held and sorted by seq in the group's
+task; what the operators keep besides is a window or the stream's distinct values."""
 
 from __future__ import annotations
 
@@ -61,7 +61,7 @@ class References:
 
     def __init__(self, window: int, prelude: int, shared: int):
         self.recall, self.window, self.prelude, self.shared = Recall(window), window, prelude, shared
-        self.next, self.met = 0, {}
+        self.next, self.met, self.order = 0, {}, []
 
     def encode(self, ref: tuple[str, int]) -> int:
         place = self.recall.use(ref)
@@ -97,11 +97,12 @@ class References:
             return "prelude", code
         code -= self.prelude
         if code < len(self.met):
-            return list(self.met)[code]
+            return self.order[code]
         ref = "shared", code - len(self.met)
         if ref[1] >= self.shared:
             raise ValueError("reference beyond the shared table")
         self.met[ref] = len(self.met)
+        self.order.append(ref)
         return ref
 
 
@@ -147,14 +148,15 @@ def encode_references(tokens: DataFrame, keys: list[str], shape: str, window: in
 
 
 def decode_references(coded: DataFrame, keys: list[str], shape: str, window: int, shared: int) -> DataFrame:
-    """Adds d_origin and d_idx to (keys, seq, prelude, code); prelude: the length of the stream's prelude."""
+    """Adds d_origin and d_idx to (keys, seq, prelude, code, and what else shape names); prelude: the length of the stream's prelude."""
 
     def run(pdf):
         refs = References(window, int(pdf["prelude"].iloc[0]), shared)
         found = [refs.decode(int(c)) for c in pdf["code"]]
         return {"d_origin": [f[0] for f in found], "d_idx": [f[1] for f in found]}
 
-    return _grouped(coded, keys, ["prelude", "code"], f"{shape}, d_origin string, d_idx long", run)
+    names = [f.split()[0] for f in shape.split(", ")]
+    return _grouped(coded, keys, [n for n in names if n not in (*keys, "seq")], f"{shape}, d_origin string, d_idx long", run)
 
 
 def window_predictions(tokens: DataFrame, keys: list[str], shape: str, width: int) -> DataFrame:

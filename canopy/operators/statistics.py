@@ -67,3 +67,20 @@ def sharded_totals(files: DataFrame, level: str, shards: int = 32) -> DataFrame:
     """Totals of a level with few values, added up in shards first, for a level that holds most of the rows."""
     part = files.groupBy(level, F.pmod(F.xxhash64("file_id"), F.lit(shards)).alias("_s")).agg(F.sum("size").alias("size"), F.count("*").alias("files"))
     return part.groupBy(level).agg(F.sum("size").alias("size"), F.sum("files").alias("files"))
+
+
+def ranked(table: DataFrame, share: str, key: str, name: str, bits: int = 20) -> DataFrame:
+    """Adds the place from 1 by share (0 to 1, largest first), then by key (unique, long), without sorting all rows in one task.
+
+    Rows are numbered inside groups of one share and 2^bits keys. Sizes of groups
+    are added up inside thousandths of the share, sizes of thousandths over all."""
+    t = table.withColumn("_b", F.floor(F.col(share) * 1000)).withColumn("_g", F.shiftright(F.col(key), bits))
+    before = [Window.unboundedPreceding, -1]
+    own = F.row_number().over(Window.partitionBy(share, "_g").orderBy(key))
+    groups = t.groupBy("_b", F.col(share).alias("_s"), F.col("_g").alias("_h")).agg(F.count("*").alias("_n"))
+    blocks = groups.groupBy(F.col("_b").alias("_c")).agg(F.sum("_n").alias("_m"))
+    blocks = blocks.select("_c", F.coalesce(F.sum("_m").over(Window.orderBy(F.desc("_c")).rowsBetween(*before)), F.lit(0)).alias("_upto"))
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_b").orderBy(F.desc("_s"), "_h").rowsBetween(*before)), F.lit(0))
+    groups = groups.select("_s", "_h", F.col("_b").alias("_k"), inside.alias("_in")).join(F.broadcast(blocks), F.col("_k") == F.col("_c")).select("_s", "_h", (F.col("_in") + F.col("_upto")).alias("_at"))
+    placed = t.withColumn("_own", own).join(groups, (F.col(share) == F.col("_s")) & (F.col("_g") == F.col("_h")))
+    return placed.withColumn(name, (F.col("_at") + F.col("_own")).cast("long")).select(*table.columns, name)

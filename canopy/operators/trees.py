@@ -80,9 +80,10 @@ def shred_tokens(files: DataFrame) -> DataFrame:
 
 
 def parse_tree(text: str | None) -> dict | None:
+    """The tree in a text, or None if there is none, also where it is nested too deeply to be read."""
     try:
         tree = json.loads(text or "")
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
     return tree if isinstance(tree, dict) and "type" in tree else None
 

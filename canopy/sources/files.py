@@ -70,7 +70,7 @@ def from_tagged(value: dict) -> object:
 
 
 def convert(files: DataFrame, to: str) -> DataFrame:
-    """files (file_id, json) from the plain into the tagged form (to="tagged") or back (to="plain"); broken ones are skipped."""
+    """files (file_id, json) from the plain into the tagged form (to="tagged") or back (to="plain"); broken ones and those nested too deeply are skipped."""
     change = to_tagged if to == "tagged" else from_tagged
 
     def run(batches):
@@ -79,7 +79,7 @@ def convert(files: DataFrame, to: str) -> DataFrame:
             for f, j in zip(pdf["file_id"], pdf["json"], strict=True):
                 try:
                     rows.append((f, json.dumps(change(json.loads(j)))))
-                except (ValueError, TypeError, KeyError):
+                except (ValueError, TypeError, KeyError, RecursionError):
                     continue
             yield pd.DataFrame(rows, columns=["file_id", "json"])
 
