@@ -146,3 +146,14 @@ def nearest_scoped(nodes: DataFrame, scoped: DataFrame) -> DataFrame:
     inside = nodes.join(s, F.expr("file_id = _f and pre between _pre and _post")).select("file_id", "node_id", F.struct("_depth", "dictionary").alias("d"))
     near = inside.groupBy("file_id", "node_id").agg(F.max("d").alias("d"))
     return nodes.join(near, ["file_id", "node_id"], "left").select("file_id", "node_id", F.coalesce("d.dictionary", F.lit("")).alias("dictionary"))
+
+
+def value_of(references: DataFrame, shared: DataFrame, preludes: DataFrame, key: str = "value") -> DataFrame:
+    """references (file_id, origin, idx, and more) with the value that each names: in the shared table or in its file's prelude.
+
+    shared: value, idx; preludes: file_id, value, idx. A reference beyond its table has a null value."""
+    s = shared.select(F.col("idx").alias("_si"), F.col(key).alias("_sv"))
+    p = preludes.select(F.col("file_id").alias("_f"), F.col("idx").alias("_pi"), F.col(key).alias("_pv"))
+    found = references.join(s, (F.col("origin") == "shared") & (F.col("idx") == F.col("_si")), "left")
+    found = found.join(p, (F.col("origin") == "prelude") & (F.col("file_id") == F.col("_f")) & (F.col("idx") == F.col("_pi")), "left")
+    return found.select(*references.columns, F.when(F.col("origin") == "shared", F.col("_sv")).otherwise(F.col("_pv")).alias(key))
