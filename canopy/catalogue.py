@@ -395,7 +395,16 @@ def references(spark, sf_dir):
 REFS = "file_id long, seq long, origin string, idx long"
 
 
-@query()
+@query(
+    "with e as (select user_id as file_id, event_id as seq, props as value from events), sh as (select value, row_number() over (order by value) - 1 as idx from (select value from e group by value having count(distinct file_id) > 39)), "
+    "pre as (select file_id, value, row_number() over (partition by file_id order by first) - 1 as idx from (select file_id, value, min(seq) as first from e where value not in (select value from sh) group by all)), "
+    "r as (select e.file_id, e.seq, case when s.idx is not null then 'shared' else 'prelude' end as origin, coalesce(s.idx, p.idx) as idx from e left join sh s on s.value = e.value left join pre p on p.file_id = e.file_id and p.value = e.value), "
+    "t as (select *, lag(seq) over (partition by file_id, origin, idx order by seq) as before, coalesce(lag(idx) over (partition by file_id, origin order by seq) + 1, 0) as expected, "
+    "coalesce(max(idx + 1) filter (origin = 'prelude') over (partition by file_id), 0) as plen, min(seq) over (partition by file_id, origin, idx) as first from r), "
+    "m as (select file_id, origin, idx, row_number() over (partition by file_id, origin order by min(seq)) - 1 as met from r group by file_id, origin, idx), "
+    "u as (select t.*, m.met, case when before is not null then (select count(distinct (x.origin, x.idx)) from r x where x.file_id = t.file_id and x.seq > t.before and x.seq < t.seq) end as place from t join m using (file_id, origin, idx)) "
+    "select file_id, seq, origin, idx, case when origin = 'prelude' and idx = expected then 0 when place < 8 then place + 1 when origin = 'prelude' then 9 + idx when seq = first then 9 + plen + met + idx else 9 + plen + met end as code from u"
+)
 def ref_stream_encode(spark, sf_dir):
     refs, n = references(spark, sf_dir)
     return ordered.encode_references(refs, ["file_id"], REFS, 8, n)
@@ -411,7 +420,10 @@ def ref_stream_roundtrip(spark, sf_dir):
     return both.agg(F.count("*").alias("symbols"), F.count_if(differ).cast("int").alias("differences"))
 
 
-@query()
+@query(
+    f"with {SEQUENCE}, f as (select user_id, value, row_number() over (partition by user_id order by min(seq)) - 1 as number from sequence group by user_id, value) "
+    f"select s.user_id, s.seq, s.value, case when s.prev is not null and s.n < 3 then 'back:' || s.n else 'dict:' || f.number end as symbol from ({SINCE}) s join f on f.user_id = s.user_id and f.value = s.value"
+)
 def window_prediction(spark, sf_dir):
     return ordered.window_predictions(sequence(spark, sf_dir), ["user_id"], "user_id long, seq long, value string", 3)
 
@@ -423,19 +435,29 @@ def block_split(spark, sf_dir):
 
 # Codes
 
+#: Merges of the two least of each context's groups, equal ones in order of their making; a symbol has a bit for each merge it is in.
+HUFFMAN = (
+    f"recursive {MARKOV}, k as (select coalesce(prev, '') as prev, value, n, row_number() over (partition by prev order by value) - 1 as i from markov), "
+    "h as (select prev, list_sort(list({'n': n, 'i': i, 's': [value]})) as q, cast([] as varchar[]) as merged, count(*) as fresh from k group by prev "
+    "union all select prev, list_sort(q[3:] || [{'n': q[1].n + q[2].n, 'i': fresh, 's': q[1].s || q[2].s}]), q[1].s || q[2].s, fresh + 1 from h where len(q) > 1), "
+    "b as (select prev, value, count(*) as bits from (select prev, unnest(merged) as value from h) group by all), codes as (select k.prev, k.value, k.n, cast(coalesce(b.bits, 0) as integer) as bits from k left join b on b.prev = k.prev and b.value = k.value)"
+)
 
-@query()
+
+@query(f"with {HUFFMAN} select * from codes")
 def huffman_lengths(spark, sf_dir):
     counts = markov(spark, sf_dir).withColumn("prev", F.coalesce("prev", F.lit("")))
     return huffman.lengths_by_context(counts, "prev", "value")
 
 
-@query()
+@query(f"with {HUFFMAN} select *, cast(round(coalesce(sum(pow(2.0, -bits)) over (partition by prev order by bits, value rows between unbounded preceding and 1 preceding), 0) * pow(2.0, bits)) as bigint) as code from codes")
 def canonical_codes(spark, sf_dir):
     return huffman.canonical_codes(huffman_lengths(spark, sf_dir), "prev", "value")
 
 
-@query()
+@query(
+    f"with {HUFFMAN} select prev, count(*) as symbols, cast(sum(n) as bigint) as instances, cast(sum(n * bits) as bigint) as huffman_bits, round(sum(-(n / total) * log2(n / total)), 6) as entropy from (select *, sum(n) over (partition by prev) as total from codes) group by prev"
+)
 def group_statistics(spark, sf_dir):
     """Entropy and Huffman cost of each context side by side."""
     counts = markov(spark, sf_dir).withColumn("prev", F.coalesce("prev", F.lit("")))
