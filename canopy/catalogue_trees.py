@@ -196,3 +196,30 @@ def references_resolved(spark, sf_dir):
     coded = coded.join(length, F.col("file_id") == F.col("_f"), "left").select("file_id", "seq", F.coalesce("prelude", F.lit(0)).cast("long").alias("prelude"), "code")
     back = ordered.decode_references(coded, ["file_id"], "file_id long, seq long, prelude long, code long", 8, n)
     return dictionary.value_of(back.select("file_id", "seq", F.col("d_origin").alias("origin"), F.col("d_idx").alias("idx")), shared, preludes).select("file_id", "seq", "value")
+
+
+@query(f"with {NODES} select n.file_id, n.node_id, case depth when 2 then 1 when 1 then post - pre + 1 else post - pre end as length from nodes n")
+def statement_sizes(spark, sf_dir):
+    """Customers as blocks, orders as loops, line items as plain statements: a loop counts one and its body."""
+    kind = F.when(F.col("interface") == "LineItem", "ExpressionStatement").when(F.col("interface") == "Customer", "Block").otherwise("WhileStatement")
+    return trees.statement_lengths(nodes(spark, sf_dir).withColumn("interface", kind))
+
+
+PROGRAM = (
+    '{"type": "Script", "statements": [{"type": "VariableDeclaration", "kind": "let", "declarators": [{"type": "VariableDeclarator", "binding": {"type": "BindingIdentifier", "name": "v%s"}, "init": null}]}, '
+    '{"type": "FunctionDeclaration", "name": {"type": "BindingIdentifier", "name": "f"}, "params": {"items": [{"type": "BindingIdentifier", "name": "%s"}], "rest": null}, '
+    '"body": [{"type": "ExpressionStatement", "expression": {"type": "IdentifierExpression", "name": "v%s"}}]}]}'
+)
+
+
+@query(
+    "with p as (select o_orderkey as file_id, 'v' || o_orderpriority[1] as v, o_orderstatus as s from orders) "
+    "select file_id, 0 as scope, 'script' as scope_kind, v as name, 'non-const lexical' as kind, null as position, true as is_captured, false as direct_eval, false as captures_this from p "
+    "union all select file_id, 0, 'script', 'f', 'var', null, false, false, false from p union all select file_id, 1, 'function', s, 'positional parameter', 0, false, false, false from p"
+)
+def program_scopes(spark, sf_dir):
+    """A program for each order: a variable by its priority, which a function with its status as parameter captures."""
+    from .operators.scopes import annotate
+
+    first = F.substring("o_orderpriority", 1, 1)
+    return annotate(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), F.format_string(PROGRAM, first, "o_orderstatus", first).alias("json")))

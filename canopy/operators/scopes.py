@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame
 
 from .trees import parse_tree
 
-FUNCTIONS = ("FunctionDeclaration", "FunctionExpression", "ArrowExpression", "Method")
+# Interface names, and the kinds of scopes and bindings, of the public grammar.
+FUNCTIONS = ("FunctionDeclaration", "FunctionExpression", "ArrowExpression", "Method", "Getter", "Setter")
+LOOPS = ("ForInStatement", "ForOfStatement")
+DECLARED = {"var": "var", "let": "non-const lexical", "const": "const lexical"}
 SCHEMA = "file_id long, scope int, scope_kind string, name string, kind string, position int, is_captured boolean, direct_eval boolean, captures_this boolean"
 
 
@@ -69,7 +72,19 @@ def _names(binding) -> list[str]:
     return out
 
 
+def plain_kind(interface: str | None) -> str | None:
+    """The interface without what says how it is stored: EagerMethod and LazyMethod are a Method, arrows with either body an ArrowExpression."""
+    name = (interface or "").removeprefix("Eager").removeprefix("Lazy")
+    return "ArrowExpression" if name.startswith("ArrowExpression") and not name.startswith("ArrowExpressionContents") else name or None
+
+
 def resolve(tree: dict) -> list[Scope]:
+    """The scopes of a program, in the order they open.
+
+    Functions, methods, getters and setters open one; so do blocks, loops that
+    may declare, and catch clauses. A function's parameters and body stand in it
+    or in its `contents`. A var belongs to the nearest function or the script,
+    also from inside a catch clause."""
     scopes: list[Scope] = []
     references: list[tuple[Scope, str]] = []
     evals: list[Scope] = []
@@ -86,7 +101,7 @@ def resolve(tree: dict) -> list[Scope]:
             continue
         if not isinstance(node, dict):
             continue
-        kind = node.get("type")
+        kind = plain_kind(node.get("type"))
         inner, place = scope, "inner"
         if kind == "Script":
             inner, place = open_scope("script", None), "top"
@@ -98,25 +113,35 @@ def resolve(tree: dict) -> list[Scope]:
             elif own:
                 scope = open_scope("name", scope)
                 scope.declare(own[0], "function name")
+            if isinstance(node.get("name"), dict) and not own:
+                todo.append((node["name"], scope, "inner"))  # a computed name is no part of the function
             inner = open_scope("function", scope)
             inner.arrow = kind == "ArrowExpression"
-            params = node.get("params") or {}
-            for i, item in enumerate(params.get("items") or []):
+            held = node.get("contents") or node
+            params = held.get("params") or {}
+            items = params.get("items") or []
+            if kind == "Setter" and held.get("param"):
+                items = [held["param"]]
+            for i, item in enumerate(items):
                 for name in _names(item):
                     inner.declare(name, "positional parameter" if item.get("type") == "BindingIdentifier" else "destructuring parameter")
                     inner.position[name] = i
             for name in _names(params.get("rest")):
                 inner.declare(name, "rest parameter")
-            todo.append((node.get("body"), inner, "top"))
+            todo.append((held.get("body"), inner, "top"))
+            todo += [(x.get("init"), inner, "inner") for x in items if isinstance(x, dict)]  # defaults
             continue
         elif kind == "CatchClause":
             inner = open_scope("catch", scope)
             for name in _names(node.get("binding")):
                 inner.declare(name, "catch")
-        elif kind in ("Block", "ForStatement", "SwitchStatement"):
+        elif kind in ("Block", "ForStatement", "SwitchStatement", "SwitchStatementWithDefault", *LOOPS):
             inner = open_scope("block", scope)
+        elif kind == "ForInOfBinding":
+            for name in _names(node.get("binding")):
+                (scope.holder() if node["kind"] == "var" else scope).declare(name, DECLARED[node["kind"]])
         elif kind == "VariableDeclaration":
-            how = {"var": "var", "let": "non-const lexical", "const": "const lexical"}[node["kind"]]
+            how = DECLARED[node["kind"]]
             for d in node.get("declarators") or []:
                 for name in _names(d.get("binding")):
                     (scope.holder() if how == "var" else scope).declare(name, how)

@@ -229,19 +229,32 @@ def key_remap(tokens: DataFrame, pairs: dict[tuple[str, str], tuple[str, str]])
     return tokens.withColumns({"interface": interface, "field": fld})
 
 
-#: Statements that count one besides what is in them, and those that only hold others.
+# Fixed values, interface names of the public grammar: statements that count one besides what is in them, and those that only hold others.
 COUNTED = ("DoWhileStatement", "ForInStatement", "ForOfStatement", "ForStatement", "WhileStatement", "LabelledStatement", "SwitchStatement", "SwitchStatementWithDefault")
 HOLDERS = ("Block", "IfStatement", "SwitchCase", "SwitchDefault")
 ENDLESS = ("TryCatchStatement", "TryFinallyStatement")
+HEADS = ("init", "left")  # fields of a loop whose declarations are no statements of their own
 MANY = 10**10
 
 
 def statement_lengths(nodes: DataFrame) -> DataFrame:
-    """(file_id, node_id, length): a rough size of each statement's subtree; a try statement counts as very long."""
-    own = F.when(F.col("interface").isin(*ENDLESS), MANY).when(F.col("interface").isin(*HOLDERS), 0)
-    own = own.when(F.col("interface").isin(*COUNTED) | F.col("interface").endswith("Statement") | F.col("interface").endswith("Declaration"), 1).otherwise(0)
-    sums = subtree_sums(nodes.withColumn("_own", own.cast("long")), "_own")
-    return sums.select("file_id", "node_id", F.least("total", F.lit(MANY)).alias("length"))
+    """(file_id, node_id, length): a rough size of each statement's subtree; a try statement counts as very long.
+
+    A statement that holds no others counts one, whatever functions its expressions
+    have: those are measured for themselves. So sums run over nodes with as many
+    plain statements and functions above them as the statement itself has."""
+    kind, statement = F.col("interface"), F.col("interface").endswith("Statement") | F.col("interface").endswith("Declaration")
+    compound = kind.isin(*COUNTED, *HOLDERS, *ENDLESS)
+    own = F.when(kind.isin(*ENDLESS), MANY).when(kind.isin(*HOLDERS), 0).when(F.coalesce(F.col("parent_field").isin(*HEADS), F.lit(False)), 0).when(statement, 1).otherwise(0)
+    closed = kind.isin(*FUNCTIONS) | (statement & ~compound)
+    level = levels(nodes, closed)
+    n = nodes.withColumn("_own", own.cast("long")).join(level, ["file_id", "node_id"])
+    # The running sum of a level is read off after each node and after its subtree.
+    marks = n.select("file_id", "level", "node_id", (2 * F.col("pre")).alias("at"), F.col("_own").alias("d"), F.lit("open").alias("side"))
+    marks = marks.union(n.select("file_id", "level", "node_id", 2 * F.col("post") + 1, F.lit(0).cast("long"), F.lit("close")))
+    upto = F.sum("d").over(Window.partitionBy("file_id", "level").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    sums = marks.withColumn("s", upto).groupBy("file_id", "node_id").agg(F.max(F.when(F.col("side") == "close", F.col("s"))).alias("_last"), F.max(F.when(F.col("side") == "open", F.col("s") - F.col("d"))).alias("_before"))
+    return sums.select("file_id", "node_id", F.least(F.col("_last") - F.col("_before"), F.lit(MANY)).alias("length"))
 
 
 def enrich(nodes: DataFrame, lazy_below: int = 0, pure: Column | None = None, dictionary: str = "pojo", least: int = 1) -> DataFrame:
