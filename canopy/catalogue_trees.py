@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .catalogue import query, read, references
 from .operators import dictionary, ordered, tokens, trees
 from .sources import files as sources
+from .sources import formats
 
 ITEM_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag")
 
@@ -223,3 +224,13 @@ def program_scopes(spark, sf_dir):
 
     first = F.substring("o_orderpriority", 1, 1)
     return annotate(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), F.format_string(PROGRAM, first, "o_orderstatus", first).alias("json")))
+
+
+@query("select count(*) as files, 0 as differences from customer")
+def trained_roundtrip(spark, sf_dir):
+    """Trees encoded with the dictionary that was trained on them, and decoded: none may differ."""
+    plain = files(spark, sf_dir)
+    shared = formats.train_tables(trees.shred_tokens(plain), 2)
+    back = formats.decode_files(formats.encode_files(plain, "streams", shared), "streams", shared)
+    same = plain.select("file_id", F.parse_json("json").alias("a")).join(back.select("file_id", F.parse_json("json").alias("b")), "file_id", "left")
+    return same.agg(F.count("*").alias("files"), F.count_if(~F.col("a").cast("string").eqNullSafe(F.col("b").cast("string"))).cast("int").alias("differences"))

@@ -2,21 +2,26 @@
 
 multipart: sections for the grammar, the strings and the tree, each compressed.
 streams: a prelude of values and a stream of references for each kind of value,
-and a main stream for the shape. json: tagged JSON. xml: written only.
+and a main stream for the shape; values of a trained dictionary, which writer and
+reader share, are left out of the preludes. json: tagged JSON. xml: written only.
 Numbers keep their bits; whole and fractional numbers are both doubles."""
 
 from __future__ import annotations
 
 import json
+import struct
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from xml.sax.saxutils import quoteattr
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import codecs
 from ..operators.ordered import References
+from ..operators.tokens import file_frequency
 from .files import from_tagged, to_tagged
 from .streams import read_sections, write_sections
 
@@ -126,8 +131,35 @@ def decode_multipart(data: bytes) -> object:
 KINDS = {NUMBER: "floats", STRING: "strings", LIST: "list_lengths"}
 
 
-def encode_streams(tree: object, codec: str = "gzip", windows: dict[str, int] = WINDOWS) -> bytes:
-    """Values of each kind in order of first use as its prelude, and references to them as its content."""
+class SharedTables:
+    """The trained dictionary: for each kind of value its shared values, by index and by value."""
+
+    def __init__(self, values: dict[str, list] | None = None):
+        self.values = {kind: list((values or {}).get(kind, [])) for kind in KINDS.values()}
+        self.places = {kind: {codecs.bytes_of_float(v) if kind == "floats" else v: i for i, v in enumerate(held)} for kind, held in self.values.items()}
+
+
+NOTHING_SHARED = SharedTables()
+MOST_SHARED = 1_000_000  # values of a trained dictionary, which every task holds
+
+
+def train_tables(tokens: DataFrame, threshold: int, most: int = MOST_SHARED) -> SharedTables:
+    """The values that more than threshold files have, of tokens (file_id, kind, value_str, value_num), in order of value.
+
+    More than `most` of them are refused: a higher threshold is needed then."""
+    kinds = {"string_literal": "strings", "float": "floats", "list_length": "list_lengths"}
+    used = file_frequency(tokens.where(F.col("kind").isin(*kinds)), "kind", "value_str", "value_num").where(F.col("files") > threshold)
+    rows = used.select("kind", "value_str", "value_num").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} shared values")
+    held: dict[str, list] = {kind: [] for kind in kinds.values()}
+    for r in rows:
+        held[kinds[r["kind"]]].append(r["value_str"] if r["kind"] == "string_literal" else int(r["value_num"]) if r["kind"] == "list_length" else r["value_num"])
+    return SharedTables({kind: sorted(values) for kind, values in held.items()})
+
+
+def encode_streams(tree: object, codec: str = "gzip", windows: dict[str, int] = WINDOWS, shared: SharedTables = NOTHING_SHARED) -> bytes:
+    """Values of each kind that are not shared, in order of first use, as its prelude; references to both as its content."""
     tokens = list(shape(tree))
     tuples = list(dict.fromkeys(v for t, v in tokens if t == TUPLE))
     place = {t: i for i, t in enumerate(tuples)}
@@ -135,15 +167,17 @@ def encode_streams(tree: object, codec: str = "gzip", windows: dict[str, int] =
     prelude, content = {"tuples": codecs.write_varuint(len(tuples)) + b"".join(codecs.write_strings(list(t)) for t in tuples)}, {}
     for tag, kind in KINDS.items():
         values = [codecs.bytes_of_float(v) if tag == NUMBER else v for t, v in tokens if t == tag]  # numbers by their bits
-        first = {v: i for i, v in enumerate(dict.fromkeys(values))}
-        refs = References(windows[kind], len(first), 0)
-        content[kind] = b"".join(codecs.write_varnum(refs.encode(("prelude", first[v]))) for v in values)
+        known = shared.places[kind]
+        first = {v: i for i, v in enumerate(dict.fromkeys(v for v in values if v not in known))}
+        refs = References(windows[kind], len(first), len(known))
+        content[kind] = b"".join(codecs.write_varnum(refs.encode(("shared", known[v]) if v in known else ("prelude", first[v]))) for v in values)
         held = list(first)
         prelude[kind] = codecs.write_strings(held) if tag == STRING else b"".join(held) if tag == NUMBER else b"".join(map(codecs.write_varnum, held))
     return write_sections({"prelude": prelude, "content": content, "main": {"shape": main}}, codec)
 
 
-def decode_streams(data: bytes, windows: dict[str, int] = WINDOWS) -> object:
+def decode_streams(data: bytes, windows: dict[str, int] = WINDOWS, shared: SharedTables = NOTHING_SHARED) -> object:
+    """The tree; windows and shared must be those of the writer."""
     s = read_sections(data)
     streams = {}
     for tag, kind in KINDS.items():
@@ -154,8 +188,9 @@ def decode_streams(data: bytes, windows: dict[str, int] = WINDOWS) -> object:
             held = [codecs.float_of_bytes(raw[i : i + 8]) for i in range(0, len(raw), 8)]
         else:
             held = list(_varnums(raw))
-        refs = References(windows[kind], len(held), 0)
-        streams[tag] = iter([held[refs.decode(c)[1]] for c in _varnums(s["content"][kind])])
+        refs = References(windows[kind], len(held), len(shared.values[kind]))
+        found = (refs.decode(c) for c in _varnums(s["content"][kind]))
+        streams[tag] = iter([held[i] if origin == "prelude" else shared.values[kind][i] for origin, i in found])
     n, at = codecs.read_varuint(s["prelude"]["tuples"])
     tuples = []
     for _ in range(n):
@@ -204,6 +239,10 @@ def to_xml(tree: object) -> str:
     return "".join(out)
 
 
+#: What readers raise on damaged files.
+BROKEN = (ValueError, TypeError, KeyError, IndexError, AttributeError, EOFError, OverflowError, RecursionError, StopIteration, OSError, struct.error, zlib.error)
+
+
 def _no_reader(_: bytes) -> object:
     raise ValueError("xml is written only")
 
@@ -217,9 +256,9 @@ FORMATS: dict[str, tuple[Callable[[object], bytes], Callable[[bytes], object]]]
 }
 
 
-def encode_files(files: DataFrame, name: str = "multipart") -> DataFrame:
-    """(file_id, content) of files (file_id, json); texts that are no JSON are skipped."""
-    write = FORMATS[name][0]
+def encode_files(files: DataFrame, name: str = "multipart", shared: SharedTables | None = None) -> DataFrame:
+    """(file_id, content) of files (file_id, json); texts that are no JSON, or nested too deeply, are skipped. shared: for streams only."""
+    write = FORMATS[name][0] if shared is None else lambda tree: encode_streams(tree, shared=shared)
 
     def run(batches):
         for pdf in batches:
@@ -227,19 +266,25 @@ def encode_files(files: DataFrame, name: str = "multipart") -> DataFrame:
             for f, j in zip(pdf["file_id"], pdf["json"], strict=True):
                 try:
                     rows.append((f, write(json.loads(j))))
-                except (ValueError, TypeError, KeyError):
+                except (ValueError, TypeError, KeyError, RecursionError):
                     continue
             yield pd.DataFrame(rows, columns=["file_id", "content"])
 
     return files.select("file_id", "json").mapInPandas(run, "file_id long, content binary")
 
 
-def decode_files(files: DataFrame, name: str = "multipart") -> DataFrame:
-    """(file_id, json) of encoded files (file_id, content); a broken file fails the task."""
-    read = FORMATS[name][1]
+def decode_files(files: DataFrame, name: str = "multipart", shared: SharedTables | None = None) -> DataFrame:
+    """(file_id, json) of encoded files (file_id, content); a file that cannot be read is skipped."""
+    read = FORMATS[name][1] if shared is None else lambda data: decode_streams(data, shared=shared)
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"file_id": pdf["file_id"], "json": [json.dumps(read(c)) for c in pdf["content"]]})
+            rows = []
+            for f, c in zip(pdf["file_id"], pdf["content"], strict=True):
+                try:
+                    rows.append((f, json.dumps(read(c))))
+                except BROKEN:
+                    continue
+            yield pd.DataFrame(rows, columns=["file_id", "json"])
 
     return files.select("file_id", "content").mapInPandas(run, "file_id long, json string")
