@@ -326,6 +326,7 @@ def repeated_words(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
     dealt = dealt.repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard", "kind")
     edited = dealt.mapInArrow(tidy(_stream), "doc_id long, sha string, n_removed long, kept_sha256 string, kept string")
     edited = scratch.keep("edited", edited)
+    scratch.drop("texts", "passages")
     return rows.drop("anchors").join(firsts, "sha", "left"), edited
 
 

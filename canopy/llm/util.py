@@ -64,6 +64,9 @@ def scratch_root(spark: SparkSession) -> str:
     return "file://" + whole[5:] if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
+_opened: list[Scratch] = []
+
+
 class Scratch:
     """A folder below the shared one for the tables between the steps of one run.
 
@@ -73,6 +76,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = posixpath.join(scratch_root(spark), f"canopy-{name}-{uuid.uuid4().hex[:12]}")
+        _opened.append(self)
 
     def sub(self, name: str) -> str:
         return posixpath.join(self.path, name)
@@ -99,6 +103,20 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def closing_scratch():
+    """Removes on leaving the folders that operators made inside: for a step whose result has been written elsewhere by then.
+
+    Operators give tables that are read from their folders, so whoever calls them owns these."""
+    before = len(_opened)
+    try:
+        yield
+    finally:
+        for scratch in _opened[before:]:
+            scratch.close()
+        del _opened[before:]
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark's context cleaner remove shuffle files that no live plan reads."""
     gc.collect()
