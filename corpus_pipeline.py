@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopy.llm import bpe, decontaminate, language, simhash, substrings
-from canopy.llm.util import Scratch, table
+from canopy.llm.util import Scratch, closing_scratch, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +38,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Shingles have WIDTH words. Null and wordless texts are near duplicates of each other, repeated rows of themselves."""
     scratch = Scratch(spark, "near-duplicates")
     rows = numbered(docs, scratch)
-    labels = simhash.simhash_components(rows.select(F.col("_row").alias("doc_id"), "text"), WIDTH).select(F.col("doc_id").alias("_row"), "component_id")
-    labels = scratch.keep("labels", labels)
+    with closing_scratch():
+        labels = simhash.simhash_components(rows.select(F.col("_row").alias("doc_id"), "text"), WIDTH)
+        labels = scratch.keep("labels", labels.select(F.col("doc_id").alias("_row"), "component_id"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "_row")
     best = rows.select("_row", order.alias("order")).join(labels, "_row").groupBy("component_id").agg(F.min("order").alias("order"))
     gone = labels.select("_row").join(best.select(F.col("order._row").alias("_row")), "_row", "left_anti")
@@ -55,9 +56,11 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the rows without any window of a benchmark item; a null text has none. Each row is judged by its own text."""
-    rows = numbered(docs, Scratch(spark, "contaminated"))
-    found = decontaminate.contamination(rows.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    gone = found.where("contaminated").select(F.col("doc_id").alias("_row"))
+    scratch = Scratch(spark, "contaminated")
+    rows = numbered(docs, scratch)
+    with closing_scratch():
+        found = decontaminate.contamination(rows.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+        gone = scratch.keep("gone", found.where("contaminated").select(F.col("doc_id").alias("_row")))
     return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
@@ -83,7 +86,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = scratch.keep(str(i), stage(spark, docs, sf_dir))
+        with closing_scratch():
+            docs = scratch.keep(str(i), stage(spark, docs, sf_dir))
         if i:
             scratch.drop(str(i - 1))
     return docs
