@@ -209,6 +209,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta:
     Null or empty texts have no words and fail the base rules. A null lang is a
     stratum of its own. Repeated rows are judged alike; labels of a null or
     unknown doc_id count for nothing; without labels only the base rules reject.
+    A document right at a cutoff is kept. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     measured = scratch.keep("measured", measures(docs))
