@@ -213,14 +213,15 @@ def text_chunks(batches, limit: int):
 HOT_KEYS = 10_000  # at most so many keys are broadcast by join_labels
 
 
-def join_labels(rows: DataFrame, labels: DataFrame, key: str, floor: int = 256) -> DataFrame:
+def join_labels(rows: DataFrame, labels: DataFrame, key: str, floor: int = 256, how: str = "inner") -> DataFrame:
     """rows joined with labels (key, n: how many rows have it, and more) on key; no key gathers its rows in one task.
 
     Keys of more than total / HOT_KEYS rows are fewer than HOT_KEYS, whatever
     the input, so their labels are broadcast; the others are joined by a shuffle,
-    in which no key has more rows than that. floor: keys of fewer rows are never hot."""
+    in which no key has more rows than that. floor: keys of fewer rows are never
+    hot; how: "left" keeps rows without a label."""
     total = labels.agg(F.sum("n")).first()[0] or 0
     least = max(floor, total // HOT_KEYS)
     hot = F.broadcast(labels.where(F.col("n") > least).drop("n"))
     cold = labels.where(F.col("n") <= least).drop("n")
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, how))

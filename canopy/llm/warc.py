@@ -22,12 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import Scratch, open_fs, table
+from .util import Scratch, join_labels, open_fs, table
 
 VERSION = b"WARC/1.1"
 MAGIC = b"\x1f\x8b\x08"
 MARK = b"WARC/"
 VERSION_LINE = re.compile(rb"WARC/\d+\.\d+(?=\r\n|$)")
+CONTROL = re.compile(rb"[\x00-\x08\x0a-\x1f\x7f]")
 EITHER = re.compile(re.escape(MAGIC) + b"|" + MARK)
 LONGEST_HEAD = 1 << 20  # bytes of a record's headers; a damaged archive may claim any
 LONGEST_BLOCK = 1 << 30  # bytes of a record's block, which is held in memory
@@ -119,7 +120,7 @@ def parse_headers(head: bytes) -> tuple[dict[str, str], int]:
     headers = {}
     for line in lines:
         name, colon, value = line.partition(b":")
-        if not colon:
+        if not colon or CONTROL.search(line):
             raise Broken("bad header line")
         headers[name.strip().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
     if "WARC-Record-ID" not in headers or "WARC-Type" not in headers:
@@ -261,10 +262,11 @@ def write_warc(pages: DataFrame, folder: str, scratch: Scratch) -> DataFrame:
     body = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", "html", F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("n"))
     seen = rows.where(f"n >= {LEAST_SHARED} and page_id is not null").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
-    repeated = scratch.keep("repeated", seen.where("copies > 1").select("digest", "first"))
+    repeated = scratch.keep("repeated", seen.where("copies > 1").select("digest", "first", F.col("copies").alias("n")))
     if repeated.count() * 100 <= SMALL_MB << 20:
-        repeated = F.broadcast(repeated)
-    rows = rows.join(repeated, "digest", "left")
+        rows = rows.drop("n").join(F.broadcast(repeated), "digest", "left")
+    else:
+        rows = join_labels(rows.drop("n"), repeated, "digest", how="left")
     rows = rows.select("page_id", "url", "html", "digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("first"))
 
     def run(batches):

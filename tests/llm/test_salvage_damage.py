@@ -44,8 +44,9 @@ def test_large_archives(pack, victim, share, junk, insert):
     parts = list(LARGE[pack])
     hit, at = parts[victim], int(share * (len(parts[victim]) - 1))
     parts[victim] = hit[:at] + junk + hit[at + (0 if insert else len(junk)) :]
+    # A plain record's headers have no checksum: that of the victim may come back with another id.
     ids, _ = found(b"".join(parts))
-    assert set(range(8)) - set(ids) <= {victim, victim + 1} and ids == sorted(ids)
+    assert set(range(8)) - set(ids) <= {victim, victim + 1} and len(ids) <= 8
 
 
 @settings(max_examples=60, deadline=None)
@@ -102,3 +103,21 @@ def test_random_bytes():
     for _ in range(200):
         data = b"".join(rng.choice([warc.MAGIC, warc.MARK, b"1.1\r\n", b"\r\n\r\n", rng.randbytes(9), b"Content-Length: 7\r\n", b"WARC-Type: x\r\nWARC-Record-ID: y\r\n"]) for _ in range(rng.randint(0, 60)))
         found(data)
+
+
+@pytest.mark.parametrize("small", [0, warc.SMALL_MB])
+def test_very_common_payloads(spark, monkeypatch, small):
+    """The same records, whether the table of repeated payloads is broadcast or joined by a shuffle but for its hot keys."""
+    monkeypatch.setattr(warc, "SMALL_MB", small)
+    html = ["<p>common</p>" * 20] * 400 + ["<p>twice</p>" * 20] * 2 + ["short"] * 5 + [None] * 3 + [f"<p>{i}</p>" * 30 for i in range(20)]
+    pages = spark.createDataFrame([(i * 7 % 1009, f"http://x/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    first = {}
+    for i, h in enumerate(html):
+        if h and len(h) >= 100:
+            first[h] = min(first.get(h, 10**9), i * 7 % 1009)
+    want = {}
+    for i, h in enumerate(html):
+        page, body = i * 7 % 1009, (h or "").encode()
+        refers = first[h] if h in first and first[h] != page else None
+        want[page] = len(body), hashlib.sha256(body).hexdigest(), "response" if refers is None else "revisit", refers
+    assert {r.page_id: tuple(r)[1:] for r in warc.archive(pages).collect()} == want
