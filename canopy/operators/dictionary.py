@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import trees
+
 PREFIX = 3  # characters by which a large table is ranked in blocks
 
 
@@ -139,13 +141,12 @@ def value_at(dists: DataFrame, wanted: DataFrame, context: list[str], value: str
 
 
 def nearest_scoped(nodes: DataFrame, scoped: DataFrame) -> DataFrame:
-    """(file_id, node_id, dictionary): that of the nearest ancestor-or-self in scoped (file_id, node_id, dictionary).
+    """(file_id, node_id, dictionary): that of the nearest ancestor-or-self in scoped (file_id, node_id, dictionary), else ''.
 
-    nodes and ancestors are told by pre and post numbers; the deepest one decides."""
-    s = nodes.join(scoped, ["file_id", "node_id"]).select(F.col("file_id").alias("_f"), F.col("pre").alias("_pre"), F.col("post").alias("_post"), F.col("depth").alias("_depth"), "dictionary")
-    inside = nodes.join(s, F.expr("file_id = _f and pre between _pre and _post")).select("file_id", "node_id", F.struct("_depth", "dictionary").alias("d"))
-    near = inside.groupBy("file_id", "node_id").agg(F.max("d").alias("d"))
-    return nodes.join(near, ["file_id", "node_id"], "left").select("file_id", "node_id", F.coalesce("d.dictionary", F.lit("")).alias("dictionary"))
+    Of several dictionaries of one node the greatest name counts."""
+    one = scoped.groupBy("file_id", "node_id").agg(F.max("dictionary").alias("_dictionary"), F.lit(True).alias("_scoped"))
+    n = nodes.select("file_id", "node_id", "pre", "post").join(one, ["file_id", "node_id"], "left")
+    return trees.nearest(n, F.col("_scoped"), F.col("_dictionary")).select("file_id", "node_id", F.coalesce("nearest", F.lit("")).alias("dictionary"))
 
 
 def value_of(references: DataFrame, shared: DataFrame, preludes: DataFrame, key: str = "value") -> DataFrame:

@@ -156,11 +156,24 @@ def pure_roots(nodes: DataFrame, pure: Column, weight: Column, threshold: int) -
     return top.where(F.col("size") >= threshold).select("file_id", "node_id", "size")
 
 
+def nearest(nodes: DataFrame, chosen: Column, value: Column) -> DataFrame:
+    """nodes with nearest: the value of the nearest chosen node at or above each, null without one.
+
+    Chosen nodes that have equally many chosen ones above them do not overlap, so
+    of those at a node's own level the last one begun is the nearest: no join of
+    ancestors with descendants."""
+    own = F.coalesce(chosen, F.lit(False))
+    n = nodes.withColumn("_own", own).withColumn("_value", F.when(own, F.struct(value.alias("v"))))
+    n = n.join(levels(n, F.col("_own")), ["file_id", "node_id"]).withColumn("_k", F.col("level") + F.col("_own").cast("int"))
+    upto = Window.partitionBy("file_id", "_k").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
+    found = F.when(F.col("_k") > 0, F.last("_value", ignorenulls=True).over(upto)["v"])
+    return n.withColumn("nearest", found).select(*nodes.columns, "nearest")
+
+
 def split_lazy(nodes: DataFrame, lazy: Column) -> DataFrame:
     """nodes with part: the nearest lazy node at or above, or -1 for the eager part."""
-    l_nodes = nodes.where(lazy).select(F.col("file_id").alias("_f"), F.col("pre").alias("_pre"), F.col("post").alias("_post"), F.col("node_id").alias("_lid"))
-    held = nodes.join(l_nodes, F.expr("file_id = _f and pre between _pre and _post")).groupBy("file_id", "node_id").agg(F.max(F.struct("_pre", "_lid")).alias("_l"))
-    return nodes.join(held, ["file_id", "node_id"], "left").withColumn("part", F.coalesce("_l._lid", F.lit(-1))).drop("_l")
+    found = nearest(nodes, lazy, F.col("node_id"))
+    return found.withColumn("part", F.coalesce("nearest", F.lit(-1))).drop("nearest")
 
 
 def type_violations(nodes: DataFrame, fields: DataFrame, sums: DataFrame) -> DataFrame:
