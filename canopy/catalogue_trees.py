@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .catalogue import query, read, references
 from .operators import dictionary, ordered, tokens, trees
 from .sources import files as sources
-from .sources import formats
+from .sources import formats, shift
 
 ITEM_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag")
 
@@ -234,3 +234,38 @@ def trained_roundtrip(spark, sf_dir):
     back = formats.decode_files(formats.encode_files(plain, "streams", shared), "streams", shared)
     same = plain.select("file_id", F.parse_json("json").alias("a")).join(back.select("file_id", F.parse_json("json").alias("b")), "file_id", "left")
     return same.agg(F.count("*").alias("files"), F.count_if(~F.col("a").cast("string").eqNullSafe(F.col("b").cast("string"))).cast("int").alias("differences"))
+
+
+SHIFT = (
+    '{"type": "Script", "directives": [], "statements": [{"type": "BlockStatement", "block": {"type": "Block", "statements": []}}, {"type": "ExpressionStatement", "expression": '
+    '{"type": "%s", "name": null, "isAsync": false, "isGenerator": false, "params": {"type": "FormalParameters", "items": [%s], "rest": null}, "body": %s}}]}'
+)
+SHIFT_RETURN = '{"type": "FunctionBody", "directives": [], "statements": [{"type": "ReturnStatement", "expression": %s}]}'
+
+
+@query(
+    "select o_orderkey as file_id, 'AssertedBlockScope' as block_scope, case o_orderstatus when 'F' then 'EagerFunctionExpression' when 'O' then 'EagerArrowExpressionWithFunctionBody' else 'EagerArrowExpressionWithExpression' end as function, "
+    "case o_orderstatus when 'F' then 'FunctionExpressionContents' when 'O' then 'ArrowExpressionContentsWithFunctionBody' else 'ArrowExpressionContentsWithExpression' end as contents, "
+    "least(o_orderkey % 4, 2) as length, o_orderkey % 4 < 3 as simple, case when o_orderkey % 2 = 0 then 'g' else '' end || case when o_orderpriority[1] = '1' then 'i' else '' end as flags from orders"
+)
+def shift_normalised(spark, sf_dir):
+    """A program of Shift's shape for each order, with a function of a kind by status, key % 4 parameters, of which the third has a default, and a pattern with flags."""
+    orders = read(spark, sf_dir, "orders")
+    kind = F.when(F.col("o_orderstatus") == "F", "FunctionExpression").otherwise("ArrowExpression")
+    plain = [F.lit('{"type": "BindingIdentifier", "name": "%s"}' % n) for n in "ab"]
+    params = F.array_join(F.slice(F.array(*plain, F.lit('{"type": "BindingWithDefault", "binding": {"type": "BindingIdentifier", "name": "c"}, "init": null}')), 1, (F.col("o_orderkey") % 4).cast("int")), ", ")
+    pattern = F.struct(F.lit("LiteralRegExpExpression").alias("type"), F.lit("a+").alias("pattern"), (F.col("o_orderkey") % 2 == 0).alias("global"), F.col("o_orderpriority").startswith("1").alias("ignoreCase"))
+    body = F.when(F.col("o_orderstatus").isin("F", "O"), F.format_string(SHIFT_RETURN, F.to_json(pattern))).otherwise(F.to_json(pattern))
+    done = shift.normalise_files(orders.select(F.col("o_orderkey").alias("file_id"), F.format_string(SHIFT, kind, params, body).alias("json")))
+    tree = F.parse_json("json")
+    function = "$.statements[1].expression"
+    flags = [F.try_variant_get(tree, f"{function}.contents.body{at}.flags", "string") for at in ("", "[0].expression")]
+    return done.select(
+        "file_id",
+        F.variant_get(tree, "$.statements[0].scope.type", "string").alias("block_scope"),
+        F.variant_get(tree, f"{function}.type", "string").alias("function"),
+        F.variant_get(tree, f"{function}.contents.type", "string").alias("contents"),
+        F.variant_get(tree, f"{function}.length", "long").alias("length"),
+        F.variant_get(tree, f"{function}.contents.parameterScope.isSimpleParameterList", "boolean").alias("simple"),
+        F.coalesce(*flags).alias("flags"),
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -69,18 +70,23 @@ def from_tagged(value: dict) -> object:
     raise ValueError(f"unknown tag {kind!r}")
 
 
-def convert(files: DataFrame, to: str) -> DataFrame:
-    """files (file_id, json) from the plain into the tagged form (to="tagged") or back (to="plain"); broken ones and those nested too deeply are skipped."""
-    change = to_tagged if to == "tagged" else from_tagged
+def rewrite(files: DataFrame, change: Callable[[str], str]) -> DataFrame:
+    """(file_id, json) with each text changed; texts that change cannot read, null ones and those nested too deeply are skipped."""
 
     def run(batches):
         for pdf in batches:
             rows = []
             for f, j in zip(pdf["file_id"], pdf["json"], strict=True):
                 try:
-                    rows.append((f, json.dumps(change(json.loads(j)))))
-                except (ValueError, TypeError, KeyError, RecursionError):
+                    rows.append((f, change(j)))
+                except (ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError):
                     continue
             yield pd.DataFrame(rows, columns=["file_id", "json"])
 
     return files.select("file_id", "json").mapInPandas(run, "file_id long, json string")
+
+
+def convert(files: DataFrame, to: str) -> DataFrame:
+    """files (file_id, json) from the plain into the tagged form (to="tagged") or back (to="plain"); broken ones and those nested too deeply are skipped."""
+    change = to_tagged if to == "tagged" else from_tagged
+    return rewrite(files, lambda text: json.dumps(change(json.loads(text))))
