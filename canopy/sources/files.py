@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,23 +70,60 @@ def from_tagged(value: dict) -> object:
     raise ValueError(f"unknown tag {kind!r}")
 
 
-def rewrite(files: DataFrame, change: Callable[[str], str]) -> DataFrame:
-    """(file_id, json) with each text changed; texts that change cannot read, null ones and those nested too deeply are skipped."""
+#: Bytes of texts that a task holds before it hands them on: a batch of files may be many times as long once rewritten.
+PIECE = 4_000_000
+
+
+def map_texts(files: DataFrame, change: Callable, skipped: tuple[type[Exception], ...], source: str = "json", made: str = "json", keep: str | None = None) -> DataFrame:
+    """(file_id, made) of the files' source column, changed one by one; those at which change raises one of skipped are left out.
+
+    keep: a column of texts that goes along; then no file is left out, made is null instead."""
+    texts = {"json": "string", "content": "binary"}
+    kind = {"json": pa.string(), "content": pa.binary()}[made]
+    columns = [keep] if keep else []
+
+    def batch(rows):
+        ids, values, kept = zip(*rows, strict=True)
+        arrays = [pa.array(ids, pa.int64()), pa.array(values, kind), pa.array(kept, pa.string())]
+        return pa.RecordBatch.from_arrays(arrays[: 3 if keep else 2], names=["file_id", made, *columns])
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for f, j in zip(pdf["file_id"], pdf["json"], strict=True):
+        rows, size = [], 0
+        for b in batches:
+            for i, (f, v) in enumerate(zip(b.column(0), b.column(1), strict=True)):
+                kept = b.column(2)[i].as_py() if keep else None
                 try:
-                    rows.append((f, change(j)))
-                except (ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError):
-                    continue
-            yield pd.DataFrame(rows, columns=["file_id", "json"])
+                    value = change(v.as_py())
+                except skipped:
+                    if not keep:
+                        continue
+                    value = None
+                rows.append((f.as_py(), value, kept))
+                size += len(value or "") + len(kept or "")
+                if size >= PIECE:
+                    yield batch(rows)
+                    rows, size = [], 0
+        if rows:
+            yield batch(rows)
+
+    return files.select(F.col("file_id").cast("long").alias("file_id"), F.col(source).cast(texts[source]).alias(source), *columns).mapInArrow(run, ", ".join(["file_id long", f"{made} {texts[made]}", *(f"{c} string" for c in columns)]))
+
+
+def rewrite(files: DataFrame, change: Callable[[str], str], keep: str | None = None) -> DataFrame:
+    """(file_id, json) with each text changed; texts that change cannot read, null ones and those nested too deeply are skipped. keep: as in map_texts."""
+    return map_texts(files, change, (ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError), keep=keep)
+
+
+def convert(files: DataFrame, *to: str, keep: str | None = None) -> DataFrame:
+    """files (file_id, json) from the plain into the tagged form (to="tagged") or back (to="plain"); broken ones and those nested too deeply are skipped.
 
-    return files.select("file_id", "json").mapInPandas(run, "file_id long, json string")
+    Of several forms each is read from the text of the one before, in one task:
+    tagged texts are many times as long as plain ones and need not travel. keep: as in map_texts."""
+    changes = [to_tagged if form == "tagged" else from_tagged for form in to]
 
+    def change(text):
+        for each in changes:
+            text = json.dumps(each(json.loads(text)))
+        return text
 
-def convert(files: DataFrame, to: str) -> DataFrame:
-    """files (file_id, json) from the plain into the tagged form (to="tagged") or back (to="plain"); broken ones and those nested too deeply are skipped."""
-    change = to_tagged if to == "tagged" else from_tagged
-    return rewrite(files, lambda text: json.dumps(change(json.loads(text))))
+    return rewrite(files, change, keep)
